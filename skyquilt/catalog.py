@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyquilt.operators import diagnostics, folds, mlr, prep, rolling, select, spatial, verify
+from skyquilt.operators import diagnostics, field, folds, mlr, models, prep, rolling, select, spatial, verify
 from skyquilt.operators.core import guessed, shape
 from skyquilt.operators.ensemble import ACPAC, Ensemble
 from skyquilt.plans import hindcast
@@ -339,6 +339,42 @@ add("hindcast_ensemble_rpss", xy_(hindcast.ensemble_rpss), XY + _PW, f"SELECT la
 add("hindcast_mlr_pearson", xy_(hindcast.mlr_pearson), XY + _MC, "SELECT lat, lon, round(corr(p, o), 6) + 0e0 AS pearson FROM mc GROUP BY ALL")
 
 
+# ---- fitted per cell or per field; iterative or seeded, so without SQL ----------------------------------------
+
+
+def _fitted(kind: str, apply: Callable = models.predict_proba, **params) -> Callable:
+    return xy_(lambda x, y: apply(models.fit(prep.fill_spatial_mean(x), y, kind, **params), prep.fill_spatial_mean(x)))
+
+
+add("mlr_multi", _fitted("mlr", models.predict_linear))
+add("mlr_multi_proba", _fitted("mlr"))
+add("elm_predict", _fitted("elm", models.predict))
+add("elm_proba", _fitted("elm"))
+add("epoelm_predict", _fitted("epoelm", models.predict))
+add("epoelm_proba", _fitted("epoelm"))
+add("elr_proba", _fitted("elr"))
+add("melr_proba", _fitted("melr"))
+add("qrf_quantile", _fitted("qrf", lambda m, x: models.predict(m, x, quantile=0.5), n_estimators=20))
+add("qrf_proba", _fitted("qrf", n_estimators=20))
+add("rf_regressor", _fitted("rf_regressor", models.predict, n_estimators=5))
+add("rf_classifier", _fitted("rf_classifier", n_estimators=10))
+add("naive_bayes", _fitted("naive_bayes"))
+add("poisson_regression", _fitted("poisson", models.predict))
+add("gamma_regression", _fitted("gamma", models.predict))
+add("nan_regression", _fitted("nan_regression", models.predict), X, "SELECT DISTINCT lat, lon, sample, '0' AS feature, CAST(NULL AS DOUBLE) AS value FROM x")
+add("nan_classifier", _fitted("nan_classifier"), X, "SELECT DISTINCT lat, lon, sample, f AS feature, CAST(NULL AS DOUBLE) AS value FROM x CROSS JOIN (SELECT unnest(['BN', 'NN', 'AN']) AS f)")
+add("tune_params", lambda s, d: models.tune(prep.fill_spatial_mean(model_cube(s, d)), observed_cube(s, d), "elm", {"hidden": [2, 5], "regularization": [-10, -5, 0], "activation": ["relu", "tanh"]}, generations=3).select("lat", "lon", "goodness", F.array_join(F.array_sort(F.transform(F.map_entries("params"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",").alias("params")))
+add("eof_loadings", x_(lambda x: field.EOF(3).fit(x).loadings))
+add("eof_scores", x_(lambda x: field.EOF(3).fit(x).scores))
+add("eof_variance", x_(lambda x: field.EOF(3).fit(x).variance))
+add("eof_inverse", x_(lambda x: (lambda e: e.inverse_transform(e.scores))(field.EOF(3).fit(x))))
+add("pcr_predict", xy_(lambda x, y: field.PCR(2).fit(prep.fill_spatial_mean(x), y).predict(prep.fill_spatial_mean(x))))
+add("pcr_proba", xy_(lambda x, y: field.PCR(2).fit(prep.fill_spatial_mean(x), y).predict_proba(prep.fill_spatial_mean(x))))
+add("cca_predict", xy_(lambda x, y: field.CCA(search_override=(3, 3, 2)).fit(prep.fill_spatial_mean(x), y).predict()))
+add("cca_proba", xy_(lambda x, y: field.CCA(search_override=(3, 3, 2)).fit(prep.fill_spatial_mean(x), y).predict_proba()))
+add("cca_search", xy_(lambda x, y: field.CCA(xmodes=(1, 3), ymodes=(1, 3)).fit(prep.fill_spatial_mean(x), y).error_variance()))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
