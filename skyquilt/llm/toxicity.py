@@ -5,8 +5,10 @@ the ordinary model differ in their highest order alone: discounted 6-gram counts
 leave goes to shared lower orders, interpolated Kneser-Ney over continuation counts of the whole corpus, so a rare or new form
 has the same backoff in both classes and tells nothing by itself, while the start of a known expression does.
 
-A text's evidence is its log-likelihood ratio per byte, length-normalised over the whole text and over its strongest stretches of 32, 8
-and 1 words. A logistic function of these, fitted on ratios of models that have not seen the text (two folds), is the score.
+A text's evidence is its log-likelihood ratio, length-normalised over the whole text, over its strongest stretches of 32 and 8 words and its
+strongest 1, 3 and 8 words, and what its words' ratios exceed two levels by, per word. A logistic function of these,
+fitted on ratios of models that have not seen the text (five folds), is the score. Counts are of texts, not of mentions, and
+equal texts of the sample count once, so one much repeated text doesn't make its words look toxic.
 
 Size bounds: the labelled sample has at most `per_class` texts and `class_bytes` bytes of each class, so the class counts
 are bounded; the shared counts live in `SLOTS` hashed places per order whatever the corpus has. Both are tables in the
@@ -19,10 +21,11 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyquilt.llm.common import col, filesystem, work_dir
+from skyquilt.llm.common import col, filesystem, work_dir, written
 
 ORDER, SLOTS, DISCOUNT = 6, 1 << 19, 0.75
-STRETCHES = (32, 8, 1)
+FOLDS, STRETCHES, STRONGEST, LEVELS = 5, (32, 8), (1, 3, 8), (1.5, 3.0)
+FEATURES = 1 + len(STRETCHES) + len(STRONGEST) + len(LEVELS)
 REMEMBERED = 400_000
 
 
@@ -82,9 +85,9 @@ def corpus_grams(docs: DataFrame, text_col: str) -> DataFrame:
 
 def shared_counts(docs: DataFrame, text_col: str) -> DataFrame:
     """`kind, slot, value`, at most SLOTS rows a kind. Kind 10k: continuation counts of k-grams; 10k+1, 10k+2: their sum and number per context."""
-    level, out = corpus_grams(docs, text_col), None
+    level, out = written(corpus_grams(docs, text_col), "toxicity-grams"), None  # read once for the texts, then as a table
     for k in range(ORDER - 1, 0, -1):
-        level = level.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("gram")).agg(F.count("*").alias("n"))
+        level = written(level.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("gram")).agg(F.count("*").alias("n")), f"toxicity-grams-{k}")
         one = level.select(F.lit(k).alias("k"), "gram", "n")
         out = one if out is None else out.unionAll(one)
 
@@ -105,15 +108,15 @@ def shared_counts(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def class_counts(sample: DataFrame) -> DataFrame:
-    """`gram, c00, c01, c10, c11`: 6-gram counts by fold and class of the sample `text, y, fold`."""
+    """`gram, c00, c01, c10, ...`: 6-gram counts by fold and class of the sample `text, y, fold`, a word once a text."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
             y, fold = np.asarray(b.column(1)), np.asarray(b.column(2))
-            for cell in range(4):
-                words = [w for t, c in zip(b.column(0), fold * 2 + y) if c == cell for w in words_of(t.as_py())]
+            for cell in range(2 * FOLDS):
+                words = [w for t, c in zip(b.column(0), fold * 2 + y) if c == cell for w in set(words_of(t.as_py()))]
                 if words:
                     kinds, n = np.unique(np.array(words, object), return_counts=True)
                     gram, of = grams(kinds.tolist())
@@ -123,7 +126,7 @@ def class_counts(sample: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(gram[begin].view(np.int64)), pa.array(np.full(len(begin), cell, np.int32)), pa.array(np.add.reduceat(n, begin).astype(np.int64))], ["gram", "cell", "n"])
 
     counted = sample.select("text", F.col("y").cast("int"), F.col("fold").cast("int")).mapInArrow(run, "gram long, cell int, n long")
-    return counted.groupBy("gram").agg(*(F.sum(F.when(F.col("cell") == c, F.col("n")).otherwise(0)).alias(f"c{c // 2}{c % 2}") for c in range(4)))
+    return counted.groupBy("gram").agg(*(F.sum(F.when(F.col("cell") == c, F.col("n")).otherwise(0)).alias(f"c{c // 2}{c % 2}") for c in range(2 * FOLDS)))
 
 
 # ---- the model -----------------------------------------------------------------------------------------------
@@ -138,7 +141,7 @@ def _read(uri: str) -> dict[str, np.ndarray]:
 
 
 class Model:
-    """Log-likelihood ratios of words. fold 0 or 1 leaves that fold's texts out of the class counts; None uses all."""
+    """Log-likelihood ratios of words. A fold's number leaves its texts out of the class counts; None uses all."""
 
     def __init__(self, shared: dict[str, np.ndarray], classes: dict[str, np.ndarray], fold: int | None = None):
         self.shared = {}
@@ -148,7 +151,7 @@ class Model:
             self.shared[kind][shared["slot"][own]] = shared["value"][own]
         order = np.argsort(classes["gram"].astype(np.int64).view(np.uint64))
         self.gram = classes["gram"].astype(np.int64).view(np.uint64)[order]
-        use = [1 - fold] if fold is not None else [0, 1]
+        use = [f for f in range(FOLDS) if f != fold]
         self.count = [sum(classes[f"c{f}{y}"][order] for f in use).astype(np.float64) for y in (0, 1)]
         context = self.gram >> np.uint64(8)
         begin = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(context) else np.empty(0, np.int64)
@@ -189,7 +192,8 @@ class Model:
         return np.bincount(of, log[1] - log[0], len(words))
 
     def features(self, texts: list[str | None]) -> np.ndarray:
-        """A row per text: the ratio per byte over the whole text and, per word, over its strongest stretches; zeros for no words."""
+        """A row per text: the ratio per byte over the whole text, then per word over its strongest
+        stretches and words and above the levels; zeros for no words."""
         split = [words_of(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known = {}
@@ -197,16 +201,17 @@ class Model:
             for begin in range(0, len(new), 50_000):
                 some = new[begin : begin + 50_000]
                 self.known.update(zip(some, self.ratios(some).tolist()))
-        out = np.zeros((len(texts), 1 + len(STRETCHES)))
+        out = np.zeros((len(texts), FEATURES))
         of = self.known.__getitem__
         for k, words in enumerate(split):
             if words:
                 ratio = np.fromiter(map(of, words), np.float64, len(words))
                 run = np.concatenate([[0.0], np.cumsum(ratio)])
-                out[k, 0] = run[-1] / (sum(map(len, words)) + len(words))
-                for j, n in enumerate(STRETCHES, 1):
-                    # a text shorter than the stretch counts as if ordinary words filled it
-                    out[k, j] = (run[n:] - run[:-n]).max() / n if len(words) > n else run[-1] / n
+                # a text shorter than a stretch counts as if words without evidence filled it
+                stretches = [(run[n:] - run[:-n]).max() / n if len(words) > n else run[-1] / n for n in STRETCHES]
+                top = STRONGEST[-1]
+                strong = np.sort(ratio if len(ratio) <= top else np.partition(ratio, len(ratio) - top)[-top:])[::-1]
+                out[k] = [run[-1] / (sum(map(len, words)) + len(words)), *stretches, *(strong[:n].sum() / n for n in STRONGEST), *(np.maximum(ratio - v, 0).mean() for v in LEVELS)]
         return out
 
 
@@ -253,15 +258,17 @@ class Toxicity:
         picked = texts.join(F.broadcast(ids), "doc_id")  # at most 2 * per_class ids
         so_far = Window.partitionBy("y").orderBy("h", "doc_id", F.octet_length("text"), F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0)
         picked = picked.withColumn("bytes", F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(so_far)).where(F.col("bytes") <= self.class_bytes)
-        picked.select("doc_id", "text", "y", F.pmod(F.shiftright("h", 20), F.lit(2)).cast("int").alias("fold")).repartition("doc_id").write.parquet(at := work_dir(spark, "toxicity-sample"))
-        sample = spark.read.parquet(at)
+        fold = F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold")
+        sample = written(picked.select("text", "y", fold).dropDuplicates(["text", "y"]), "toxicity-sample")
         class_counts(sample).coalesce(4).write.parquet(class_at := work_dir(spark, "toxicity-classes"))
         shared_counts(corpus, text_col).coalesce(4).write.parquet(shared_at := work_dir(spark, "toxicity-shared"))
         self.class_at, self.shared_at = class_at, shared_at
-        seen = [f"f{k}" for k in range(1 + len(STRETCHES))]
-        parts = [_featured(sample.where(f"fold = {f}"), shared_at, class_at, f, "y").toPandas() for f in (0, 1)]  # bounded by the sample
+        seen = [f"f{k}" for k in range(FEATURES)]
+        parts = [_featured(sample.where(f"fold = {f}"), shared_at, class_at, f, "y").toPandas() for f in range(FOLDS)]  # bounded by the sample
         x = np.concatenate([p[seen].to_numpy(float) for p in parts])
         y = np.concatenate([p["y"].to_numpy(float) for p in parts])
+        if len(set(y.tolist())) < 2:
+            return self
         self.scale = np.maximum(x.std(0), 1e-9)
         share = np.where(y == 1, self.base / max(1, (y == 1).sum()), (1 - self.base) / max(1, (y == 0).sum())) * len(y)
         self.beta = logistic(x / self.scale, y, share)
@@ -313,4 +320,4 @@ def _featured(docs: DataFrame, shared_at: str, class_at: str, fold: int | None,
                 x = model.features(some.column(0).to_pylist())
                 yield pa.RecordBatch.from_arrays([some.column(1), *(pa.array(x[:, k]) for k in range(x.shape[1]))], [keep, *(f"f{k}" for k in range(x.shape[1]))])
 
-    return docs.select("text", F.col(keep).cast("int")).mapInArrow(run, f"{keep} int, " + ", ".join(f"f{k} double" for k in range(1 + len(STRETCHES))))
+    return docs.select("text", F.col(keep).cast("int")).mapInArrow(run, f"{keep} int, " + ", ".join(f"f{k} double" for k in range(FEATURES)))
