@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from skyquilt.functions.expr import CELL
 from skyquilt.operators.prep import OneHotEncoder, terciles
 
-V = F.col("value")
-
 
 def _rows(wide: DataFrame, bn: Column, nn: Column, an: Column) -> DataFrame:
     one = F.explode(F.array(*(F.struct(F.lit(n).alias("feature"), c.alias("value")) for n, c in (("BN", bn), ("NN", nn), ("AN", an)))))
@@ -37,7 +35,7 @@ class Ensemble:
         """`lat, lon, sample, bn, nn, an`."""
         joined = x.join(self.thresholds, list(CELL))
         share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
-        wide = joined.groupBy(*CELL, "sample").agg(share(V <= F.col("lo")).alias("bn"), share(V > F.col("hi")).alias("an"))
+        wide = joined.groupBy(*CELL, "sample").agg(share(F.col("value") <= F.col("lo")).alias("bn"), share(F.col("value") > F.col("hi")).alias("an"))
         return wide.withColumn("nn", 1 - F.col("bn") - F.col("an"))
 
     def predict_proba(self, x: DataFrame) -> DataFrame:
@@ -68,13 +66,13 @@ class ACPAC(Ensemble):
         self.scaling = pairs.groupBy(*CELL, "feature").agg(F.try_divide(F.stddev_pop("o"), F.stddev_pop("p")).alias("sdratio"), pac.alias("pac"))
         obs = y.groupBy(*CELL, "sample").agg(F.avg("value").alias("o"))
         clim = y.groupBy(*CELL).agg(F.avg("value").alias("clim"))
-        both = x.join(obs, [*CELL, "sample"]).join(clim, list(CELL)).withColumn("dx", V - F.col("clim")).withColumn("dy", F.col("o") - F.col("clim"))
+        both = x.join(obs, [*CELL, "sample"]).join(clim, list(CELL)).withColumn("dx", F.col("value") - F.col("clim")).withColumn("dy", F.col("o") - F.col("clim"))
         self.slope = both.groupBy(*CELL, "feature").agg((F.avg(F.col("dx") * F.col("dy")) / F.nullif(F.var_pop("dx"), F.lit(0.0))).alias("a"))
         return self
 
     def predict_proba(self, x: DataFrame) -> DataFrame:
         factor = F.col("sdratio") * F.col("pac")
-        scaled = super().predict_proba(x).join(self.scaling, [*CELL, "feature"]).withColumn("v", V * factor)
+        scaled = super().predict_proba(x).join(self.scaling, [*CELL, "feature"]).withColumn("v", F.col("value") * factor)
         wide = scaled.groupBy(*CELL, "sample").agg(*(F.max(F.when(F.col("feature") == c, F.col("v"))).alias(n) for c, n in (("BN", "bn"), ("NN", "nn"), ("AN", "an"))))
         for _ in range(3):
             wide = self._round(wide)
@@ -93,5 +91,5 @@ class ACPAC(Ensemble):
         return wide.select(*CELL, "sample", *((F.col(n) - over).alias(n) for n in names))
 
     def predict(self, x: DataFrame) -> DataFrame:
-        scaled = x.join(self.slope, [*CELL, "feature"]).groupBy(*CELL, "sample").agg(F.avg(V * F.col("a")).alias("value"))
+        scaled = x.join(self.slope, [*CELL, "feature"]).groupBy(*CELL, "sample").agg(F.avg(F.col("value") * F.col("a")).alias("value"))
         return scaled.select(*CELL, "sample", F.lit("0").alias("feature"), "value")

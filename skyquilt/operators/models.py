@@ -131,7 +131,7 @@ def tune(x: DataFrame, y: DataFrame, kind: str, genes: dict[str, list], *, seed:
             for row in pdf.itertuples(index=False):
                 random = np.random.default_rng(seed_of(row.lat, row.lon, seed))
                 score, found = kernels.tune(kind, np.array(row.x, float).reshape(-1, row.width), np.array(row.y, float), genes, random, generations=generations)
-                out.append((row.lat, row.lon, score, {k: repr(v) for k, v in found.items()}))
+                out.append((row.lat, row.lon, score, {k: v if isinstance(v, str) else repr(v) for k, v in found.items()}))
             yield pd.DataFrame(out, columns=["lat", "lon", "goodness", "params"])
 
     return cells(x, y).where("whole").select("lat", "lon", "x", "width", "y").mapInPandas(run, "lat double, lon double, goodness double, params map<string,string>")

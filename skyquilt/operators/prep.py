@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from skyquilt.functions import distributions
 from skyquilt.functions.expr import CELL, SERIES, avg_rank, q_mid
 
-V = F.col("value")
-
 
 def reformat(cube: DataFrame) -> DataFrame:
     """Longitudes above 180, strictly, minus 360."""
@@ -49,7 +47,7 @@ def remove_climatology(cube: DataFrame, method: str = "monthly") -> DataFrame:
     monthly = kept.groupBy(*SERIES, F.to_date(F.date_trunc("month", at)).alias("month")).agg(F.avg("value").alias("value"))
     clim = kept.groupBy(*SERIES, F.month("sample").alias("m")).agg(F.avg("value").alias("clim"))
     joined = monthly.withColumn("m", F.month("month")).join(clim, [*SERIES, "m"])
-    return joined.select("lat", "lon", F.col("month").alias("sample"), "feature", (V - F.col("clim")).alias("value"))
+    return joined.select("lat", "lon", F.col("month").alias("sample"), "feature", (F.col("value") - F.col("clim")).alias("value"))
 
 
 def quantile(cube: DataFrame, threshold: float, method: str = "midpoint") -> DataFrame:
@@ -103,10 +101,10 @@ class OneHotEncoder:
     def transform(self, cube: DataFrame) -> DataFrame:
         any_ = F.count("value").over(Window.partitionBy(*CELL)) > 0
         joined = cube.withColumn("any", any_).join(self.thresholds, list(CELL), "left")
-        near = (V >= F.col("lo")) & (V <= F.col("hi"))
-        near = near & (V != 0) if self.compat else near
+        near = (F.col("value") >= F.col("lo")) & (F.col("value") <= F.col("hi"))
+        near = near & (F.col("value") != 0) if self.compat else near
         one = lambda c: F.when(F.col("any"), F.when(c, 1.0).otherwise(0.0))
-        return _classes(joined, ("BN", one(V < F.col("lo"))), ("NN", one(near)), ("AN", one(V > F.col("hi"))))
+        return _classes(joined, ("BN", one(F.col("value") < F.col("lo"))), ("NN", one(near)), ("AN", one(F.col("value") > F.col("hi"))))
 
 
 @dataclass
@@ -126,10 +124,10 @@ class MinMax:
         return cube.join(self.fitted, list(SERIES)).select("lat", "lon", "sample", "feature", body.alias("value"))
 
     def transform(self, cube: DataFrame) -> DataFrame:
-        return self._each(cube, (V - F.col("lo")) / F.col("range") * (self.max - self.min) + self.min)
+        return self._each(cube, (F.col("value") - F.col("lo")) / F.col("range") * (self.max - self.min) + self.min)
 
     def inverse_transform(self, cube: DataFrame) -> DataFrame:
-        return self._each(cube, (V - self.min) / (self.max - self.min) * F.col("range") + F.col("lo"))
+        return self._each(cube, (F.col("value") - self.min) / (self.max - self.min) * F.col("range") + F.col("lo"))
 
 
 @dataclass
@@ -144,28 +142,28 @@ class Normal:
         return self
 
     def transform(self, cube: DataFrame) -> DataFrame:
-        return cube.join(self.fitted, list(SERIES)).select("lat", "lon", "sample", "feature", ((V - F.col("mu")) / F.col("sd")).alias("value"))
+        return cube.join(self.fitted, list(SERIES)).select("lat", "lon", "sample", "feature", ((F.col("value") - F.col("mu")) / F.col("sd")).alias("value"))
 
     def inverse_transform(self, cube: DataFrame) -> DataFrame:
-        return cube.join(self.fitted, list(SERIES)).select("lat", "lon", "sample", "feature", (V * F.col("sd") + F.col("mu")).alias("value"))
+        return cube.join(self.fitted, list(SERIES)).select("lat", "lon", "sample", "feature", (F.col("value") * F.col("sd") + F.col("mu")).alias("value"))
 
 
 def percentile(cube: DataFrame, *, compat: bool = True) -> DataFrame:
     """Average rank over the number of values present, kept within 0.0001 and 0.9999. With compat missing values become 0.9999."""
-    present = cube.where(V.isNotNull())
+    present = cube.where(F.col("value").isNotNull())
     ranked = present.withColumn("p", avg_rank("value", *SERIES) / F.count(F.lit(1)).over(Window.partitionBy(*SERIES)))
     clamped = F.when(F.col("p") >= 1, 0.9999).when(F.col("p") <= 0, 0.0001).otherwise(F.col("p"))
     out = ranked.select("lat", "lon", "sample", "feature", clamped.alias("value"))
-    missing = cube.where(V.isNull()).select("lat", "lon", "sample", "feature", F.lit(0.9999 if compat else None).cast("double").alias("value"))
+    missing = cube.where(F.col("value").isNull()).select("lat", "lon", "sample", "feature", F.lit(0.9999 if compat else None).cast("double").alias("value"))
     return out.unionByName(missing)
 
 
 def cdf(cube: DataFrame, dist: str = "norm") -> DataFrame:
-    return cube.withColumn("value", distributions.cdf(V, dist))
+    return cube.withColumn("value", distributions.cdf(F.col("value"), dist))
 
 
 def invcdf(cube: DataFrame, dist: str = "norm") -> DataFrame:
-    return cube.withColumn("value", distributions.ppf(V, dist))
+    return cube.withColumn("value", distributions.ppf(F.col("value"), dist))
 
 
 def normal_scores(cube: DataFrame, dist: str = "norm") -> DataFrame:
@@ -191,7 +189,7 @@ class GammaTransformer:
     fitted: DataFrame | None = field(default=None, repr=False)
 
     def fit(self, cube: DataFrame) -> "GammaTransformer":
-        kept = F.when(V > self.eps, V)
+        kept = F.when(F.col("value") > self.eps, F.col("value"))
         stats = cube.groupBy(*SERIES).agg(F.avg(kept).alias("m"), F.avg(F.ln(kept)).alias("l"), F.var_pop(kept).alias("v"))
         a = 4 * (F.ln("m") - F.col("l"))
         near, moments = a > self.eps**0.5, F.col("v") > 0
@@ -201,12 +199,12 @@ class GammaTransformer:
         return self
 
     def transform(self, cube: DataFrame) -> DataFrame:
-        p = distributions.cdf(V, "gamma", F.col("alpha"), F.col("beta"))
+        p = distributions.cdf(F.col("value"), "gamma", F.col("alpha"), F.col("beta"))
         joined = cube.join(self.fitted, list(SERIES)).withColumn("p", p)
         return joined.withColumn("value", distributions.ppf(F.when(F.col("p").isNotNull(), _clamp(F.col("p"))), self.destination)).select("lat", "lon", "sample", "feature", "value")
 
     def inverse_transform(self, cube: DataFrame) -> DataFrame:
-        joined = cube.join(self.fitted, list(SERIES)).withColumn("p", distributions.cdf(V, self.destination))
+        joined = cube.join(self.fitted, list(SERIES)).withColumn("p", distributions.cdf(F.col("value"), self.destination))
         return joined.withColumn("value", distributions.ppf(F.when(F.col("p").isNotNull(), _clamp(F.col("p"))), "gamma", F.col("alpha"), F.col("beta"))).select("lat", "lon", "sample", "feature", "value")
 
 
@@ -224,8 +222,8 @@ class EmpiricalTransformer:
 
     def ecdf(self, cube: DataFrame) -> DataFrame:
         """Share of fitted values <= x, kept within 0.0001 and 0.9999."""
-        below = F.size(F.filter("s", lambda t: t <= V)) / F.size("s")
-        return cube.join(self.fitted, list(SERIES)).select("lat", "lon", "sample", "feature", F.when(V.isNotNull() & (F.size("s") > 0), _clamp(below)).alias("value"))
+        below = F.size(F.filter("s", lambda t: t <= F.col("value"))) / F.size("s")
+        return cube.join(self.fitted, list(SERIES)).select("lat", "lon", "sample", "feature", F.when(F.col("value").isNotNull() & (F.size("s") > 0), _clamp(below)).alias("value"))
 
     def transform(self, cube: DataFrame) -> DataFrame:
         return invcdf(self.ecdf(cube), self.destination)
@@ -234,9 +232,9 @@ class EmpiricalTransformer:
         p = cdf(cube, self.destination).join(self.fitted, list(SERIES))
         knots = F.array_distinct("s")
         place = F.transform("k", lambda t: F.size(F.filter("s", lambda u: u <= t)) / F.size("s"))
-        p = p.withColumn("k", knots).withColumn("e", place).withColumn("j", F.size(F.filter("e", lambda e: e < V)))
+        p = p.withColumn("k", knots).withColumn("e", place).withColumn("j", F.size(F.filter("e", lambda e: e < F.col("value"))))
         j = F.greatest(F.lit(1), F.least(F.size("k") - 1, F.col("j")))
         p = p.withColumn("j", j.cast("int"))
         e0, e1, k0, k1 = (F.get(c, i) for c, i in (("e", F.col("j") - 1), ("e", F.col("j")), ("k", F.col("j") - 1), ("k", F.col("j"))))
-        value = F.when(F.size("k") == 1, F.get("k", F.lit(0))).otherwise(k0 + (V - e0) / (e1 - e0) * (k1 - k0))
-        return p.select("lat", "lon", "sample", "feature", F.when(V.isNotNull(), value).alias("value"))
+        value = F.when(F.size("k") == 1, F.get("k", F.lit(0))).otherwise(k0 + (F.col("value") - e0) / (e1 - e0) * (k1 - k0))
+        return p.select("lat", "lon", "sample", "feature", F.when(F.col("value").isNotNull(), value).alias("value"))

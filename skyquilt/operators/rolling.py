@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 
 from skyquilt.functions.expr import SERIES, q_mid
 
-V = F.col("value")
-
 
 def pools(cube: DataFrame, *, lead_low: int = 7, lead_high: int = 14, base_year: int = 1999, n_years: int = 30) -> DataFrame:
     """`lat, lon, feature, md, value`: every pooled value under its month and day 'mm-dd'. 29 February is pooled as 28 February
@@ -62,7 +60,7 @@ class RollingOneHotEncoder(_Rolling):
 
     def transform(self, cube: DataFrame) -> DataFrame:
         joined = self._joined(cube)
-        bn, an = F.when(V <= F.col("lo"), 1.0).otherwise(0.0), F.when(V > F.col("hi"), 1.0).otherwise(0.0)
+        bn, an = F.when(F.col("value") <= F.col("lo"), 1.0).otherwise(0.0), F.when(F.col("value") > F.col("hi"), 1.0).otherwise(0.0)
         rows = F.explode(F.array(*(F.struct(F.lit(n).alias("feature"), c.alias("value")) for n, c in (("BN", bn), ("NN", 1 - an - bn), ("AN", an)))))
         return joined.select("lat", "lon", "sample", rows.alias("x")).select("lat", "lon", "sample", "x.feature", "x.value")
 
@@ -76,4 +74,4 @@ class RollingMinMax(_Rolling):
         return self
 
     def transform(self, cube: DataFrame) -> DataFrame:
-        return self._joined(cube).select("lat", "lon", "sample", "feature", (F.try_divide(V - F.col("lo"), F.col("hi") - F.col("lo")) * 2 - 1).alias("value"))
+        return self._joined(cube).select("lat", "lon", "sample", "feature", (F.try_divide(F.col("value") - F.col("lo"), F.col("hi") - F.col("lo")) * 2 - 1).alias("value"))

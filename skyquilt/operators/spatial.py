@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from skyquilt.operators.core import coords
 from skyquilt.operators.prep import fill_spatial_mean, reformat
 
-V = F.col("value")
-
 
 def _brackets(source: DataFrame, axis: str, targets: list[float]) -> DataFrame:
     """`to, at, w, near`: for each target the one or two source coordinates around it with linear weights; targets outside clamp
@@ -39,11 +37,11 @@ def regrid(cube: DataFrame, lons: list[float], lats: list[float]) -> DataFrame:
     have = coords(cube, "lat").agg(F.sort_array(F.collect_set("lat"))).first()[0], coords(cube, "lon").agg(F.sort_array(F.collect_set("lon"))).first()[0]
     if have == (sorted(set(map(float, lats))), sorted(set(map(float, lons)))):
         return cube
-    filled = fill_spatial_mean(cube.withColumn("missing", V.isNull()))
+    filled = fill_spatial_mean(cube.withColumn("missing", F.col("value").isNull()))
     la = _brackets(cube, "lat", lats).toDF("to_lat", "lat", "wa", "na")
     lo = _brackets(cube, "lon", lons).toDF("to_lon", "lon", "wo", "no")
     joined = filled.join(F.broadcast(la), "lat").join(F.broadcast(lo), "lon")
-    out = joined.groupBy(F.col("to_lat").alias("lat"), F.col("to_lon").alias("lon"), "sample", "feature").agg(F.sum(V * F.col("wa") * F.col("wo")).alias("v"), F.max(F.col("missing") & F.col("na") & F.col("no")).alias("gone"))
+    out = joined.groupBy(F.col("to_lat").alias("lat"), F.col("to_lon").alias("lon"), "sample", "feature").agg(F.sum(F.col("value") * F.col("wa") * F.col("wo")).alias("v"), F.max(F.col("missing") & F.col("na") & F.col("no")).alias("gone"))
     return out.select("lat", "lon", "sample", "feature", F.when(~F.col("gone"), F.col("v")).alias("value"))
 
 
@@ -83,5 +81,5 @@ def gaussian_smooth(cube: DataFrame, kernel: int = 3) -> DataFrame:
 
     filled = fill_spatial_mean(cube)
     joined = filled.join(F.broadcast(neighbours("lat", "to_lat", "wa")), "lat").join(F.broadcast(neighbours("lon", "to_lon", "wo")), "lon")
-    smooth = joined.groupBy(F.col("to_lat").alias("lat"), F.col("to_lon").alias("lon"), "sample", "feature").agg(F.sum(V * F.col("wa") * F.col("wo")).alias("s"))
-    return cube.join(smooth, ["lat", "lon", "sample", "feature"]).select("lat", "lon", "sample", "feature", F.when(V.isNotNull(), F.col("s")).alias("value"))
+    smooth = joined.groupBy(F.col("to_lat").alias("lat"), F.col("to_lon").alias("lon"), "sample", "feature").agg(F.sum(F.col("value") * F.col("wa") * F.col("wo")).alias("s"))
+    return cube.join(smooth, ["lat", "lon", "sample", "feature"]).select("lat", "lon", "sample", "feature", F.when(F.col("value").isNotNull(), F.col("s")).alias("value"))

@@ -10,12 +10,12 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyquilt.functions.expr import CELL, avg_rank, two_sided_p
 
-P, O = F.col("p"), F.col("o")  # noqa: E741
 EPS = 2.220446049250313e-16
 CLASSES = ("BN", "NN", "AN")
 
@@ -25,7 +25,7 @@ def continuous(pred: DataFrame, obs: DataFrame) -> DataFrame:
     o = obs.select(*CELL, "sample", F.col("value").alias("o"))
     pairs = pred.select(*CELL, "feature", "sample", F.col("value").alias("p")).join(o, [*CELL, "sample"])
     own = Window.partitionBy(*CELL, "feature")
-    return pairs.select("*", F.avg("p").over(own).alias("p_mean"), F.avg("o").over(own).alias("o_mean"), F.count(F.when(P.isNull() | O.isNull(), 1)).over(own).alias("gaps"))
+    return pairs.select("*", F.avg("p").over(own).alias("p_mean"), F.avg("o").over(own).alias("o_mean"), F.count(F.when(F.col("p").isNull() | F.col("o").isNull(), 1)).over(own).alias("gaps"))
 
 
 def ranked(pairs: DataFrame) -> DataFrame:
@@ -40,7 +40,12 @@ def score(pairs: DataFrame, metrics: dict[str, Column]) -> DataFrame:
     return rows.groupBy(*CELL).agg(*(F.avg(n).alias(n) for n in metrics))
 
 
-_n, _sse = F.count(F.lit(1)), F.sum((P - O) * (P - O))
+def _n() -> Column:
+    return F.count(F.lit(1))
+
+
+def _sse() -> Column:
+    return F.sum((F.col("p") - F.col("o")) * (F.col("p") - F.col("o")))
 
 
 def pearson() -> Column:
@@ -61,7 +66,7 @@ def spearman_p() -> Column:
 
 
 def nse() -> Column:
-    return 1 - F.try_divide(_sse, F.sum((O - F.col("o_mean")) * (O - F.col("o_mean"))))
+    return 1 - F.try_divide(_sse(), F.sum((F.col("o") - F.col("o_mean")) * (F.col("o") - F.col("o_mean"))))
 
 
 def nnse() -> Column:
@@ -87,8 +92,8 @@ def kge_components(component: str = "all") -> Column:
 def index_of_agreement() -> Column:
     """Centred on the mean of the predictions, as published."""
     m = F.col("p_mean")
-    wide = F.abs(P - m) + F.abs(O - m)
-    return 1 - F.try_divide(_sse, F.sum(wide * wide))
+    wide = F.abs(F.col("p") - m) + F.abs(F.col("o") - m)
+    return 1 - F.try_divide(_sse(), F.sum(wide * wide))
 
 
 def bias_ratio() -> Column:
@@ -96,15 +101,15 @@ def bias_ratio() -> Column:
 
 
 def ncrmse() -> Column:
-    return F.try_divide(F.stddev_pop(P - O), F.avg("o"))
+    return F.try_divide(F.stddev_pop(F.col("p") - F.col("o")), F.avg("o"))
 
 
 def mape() -> Column:
-    return F.avg(F.abs(O - P) / F.greatest(F.abs(O), F.lit(EPS)))
+    return F.avg(F.abs(F.col("o") - F.col("p")) / F.greatest(F.abs(F.col("o")), F.lit(EPS)))
 
 
 def log_likelihood() -> Column:
-    return -_n / 2 * (1 + math.log(2 * math.pi)) - _n / 2 * F.ln(F.nullif(_sse / _n, F.lit(0.0)))
+    return -_n() / 2 * (1 + math.log(2 * math.pi)) - _n() / 2 * F.ln(F.nullif(_sse() / _n(), F.lit(0.0)))
 
 
 def aic(k: int = 1) -> Column:
@@ -112,7 +117,7 @@ def aic(k: int = 1) -> Column:
 
 
 def bic(k: int = 1) -> Column:
-    return -2 * log_likelihood() + k * F.ln(_n)
+    return -2 * log_likelihood() + k * F.ln(_n())
 
 
 def kendall_tau(pairs: DataFrame) -> DataFrame:
@@ -259,7 +264,7 @@ def _mean_of_classes(rows: DataFrame, expression: Column, name: str) -> DataFram
 def auc(rows: DataFrame) -> DataFrame:
     """Mean over classes of the area under the ROC curve, observation against probability, by rank sums."""
     n1, n = F.sum("o"), F.count(F.lit(1))
-    return _mean_of_classes(rows, F.try_divide(F.sum(F.col("r") * O) - n1 * (n1 + 1) / 2, n1 * (n - n1)), "auc")
+    return _mean_of_classes(rows, F.try_divide(F.sum(F.col("r") * F.col("o")) - n1 * (n1 + 1) / 2, n1 * (n - n1)), "auc")
 
 
 def point_biserial(rows: DataFrame) -> DataFrame:
@@ -282,8 +287,6 @@ def lift(function: Callable, returns: str = "double") -> Callable[[DataFrame], D
     """
 
     def run(pairs: DataFrame) -> DataFrame:
-        import pandas as pd
-
         @F.pandas_udf(returns)
         def own(p: pd.Series, o: pd.Series) -> float:
             return float(function(p.to_numpy(), o.to_numpy()))
