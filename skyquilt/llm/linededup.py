@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyquilt.llm.common import SPACE, WORD, col
+from skyquilt.llm.common import SPACE, WORD, col, written
 
 
 def _key(line: Column) -> Column:
@@ -42,7 +42,8 @@ def drop_boilerplate(pages: DataFrame, *, host_col: str = "source", text_col: st
     count as pages; null hosts are one host; repeated rows are pages of their own; other columns, whatever their names, stay.
     """
     lists = boilerplate(pages, host_col=host_col, text_col=text_col, ratio=ratio, min_pages=min_pages).groupBy("host").agg(F.collect_set("key").alias("keys"))
-    lists = lists.select(F.col("host").alias("__sq_host"), F.col("keys").alias("__sq_keys"))
+    # as a table of its own, its size is known: Spark broadcasts it while it is small, else the adaptive skew join splits hot hosts
+    lists = written(lists.select(F.col("host").alias("__sq_host"), F.col("keys").alias("__sq_keys")), "boilerplate-lists")
     packed = pages.select(F.struct(*(col(c) for c in pages.columns)).alias("__sq_row"), _host_key(col(host_col)).alias("__sq_key"))
     joined = packed.join(lists, F.col("__sq_key") == F.col("__sq_host"), "left")
     field = F.col("__sq_row").getField(text_col).cast("string")
