@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyquilt.llm import linededup, mixing, packing, simhash, toxicity
-from skyquilt.llm.common import written
+from skyquilt.llm.common import WORD, written
 from skyquilt.llm.queries import may_learn
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -27,7 +27,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines on over 5% of a source's documents are cut; documents that lose all their words go. n_chars follows the text."""
     out = linededup.drop_boilerplate(docs.select(*COLUMNS), ratio=0.05, min_pages=3, dropped_col="__dropped")
-    out = out.where((F.col("__dropped") == 0) | (F.length(F.trim("text")) > 0))
+    out = out.where((F.col("__dropped") == 0) | F.col("text").rlike(WORD))
     return out.withColumn("n_chars", F.when(F.col("__dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
