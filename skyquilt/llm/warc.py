@@ -191,6 +191,7 @@ def write_archives(pages: DataFrame, *, id_col: str = "page_id", url_col: str =
     rows = pages.select(col(id_col).cast("long").alias("id"), col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.select("*", F.octet_length("payload").alias("n"), F.sha1("payload").alias("sha"), F.xxhash64("payload").alias("xx"))
     first = rows.groupBy("sha", "xx", "n").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where(f"copies > 1 and first is not null and n >= {int(min_bytes)}").drop("copies")
+    first = written(first, "warc-first")  # a table of its own, so that the join may be broadcast or split by size
     marked = rows.join(first, ["sha", "xx", "n"], "left").select("id", "url", "payload", F.when(F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers"))
 
     def run(batches):
