@@ -15,8 +15,8 @@ def _print(links: DataFrame) -> tuple:
 def components(links: DataFrame, name: str = "components", limit: int = 60) -> DataFrame:
     """`node, root` for every node of the links `a, b` (longs): root is the component's smallest node.
 
-    Each step groups by node with partial minima and joins back, so a node with many links is only a streamed side,
-    which the adaptive skew join splits. Every round is a written table; only four numbers a round reach the driver.
+    Each step groups by node with partial minima and joins back, and the minima are a written table, so a node
+    with many links is only a streamed side, which the adaptive skew join splits. Every round is a written table; only four numbers a round reach the driver.
     """
     links = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     seen = _print(links)
@@ -24,9 +24,10 @@ def components(links: DataFrame, name: str = "components", limit: int = 60) -> D
         if not seen[0]:
             break
         both = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), name)
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = written(large, name)
+        least = written(large.groupBy("a").agg(F.min("b").alias("m")), name)
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").where("a <> b").distinct()
         links = written(small, name)
         now = _print(links)

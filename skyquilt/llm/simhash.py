@@ -143,8 +143,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     roots = components(links(entries.select("fp"), distance=distance), "fingerprint-links")
     joined = entries.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     joined = written(joined, "fingerprint-roots")
-    smallest = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = joined.select("fp", "root").join(smallest, "root").select("fp", "component_id")
+    smallest = written(joined.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")
+    named = written(joined.select("fp", "root").join(smallest, "root").select("fp", "component_id"), "fingerprint-components")
     return marked.join(named, "fp").select(F.col("doc_id").alias(id_col), "fp", "component_id")
 
 
