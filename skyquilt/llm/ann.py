@@ -125,7 +125,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Of corresponding rows, the same for the same vectors wherever they stand."""
+    """Of corresponding rows, the same for the same vectors wherever they stand; powers of two taken out keep squares in range."""
+    a, b = (np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None]) for x in (a, b))
     return (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
 
 
