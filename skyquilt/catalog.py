@@ -243,9 +243,14 @@ def continuous(x: DataFrame, y: DataFrame) -> DataFrame:
     return verify.continuous(Ensemble().fit(x).predict(x), y)
 
 
+def cells_of(table: str, select_: str) -> str:
+    """The rows of a grouped select, and NULL for cells of the table that it leaves out."""
+    return f"SELECT * FROM (SELECT DISTINCT lat, lon FROM {table}) LEFT JOIN ({select_}) USING (lat, lon)"
+
+
 def _metric(name: str, spark_metric: Callable, sql: str, ranks: bool = False) -> None:
     pairs_ = (lambda x, y: verify.ranked(continuous(x, y))) if ranks else continuous
-    add(name, xy_(lambda x, y: verify.score(pairs_(x, y), {name: spark_metric()})), XY + _CP, f"SELECT lat, lon, round({sql}, 6) + 0e0 AS {name} FROM c GROUP BY lat, lon")
+    add(name, xy_(lambda x, y: verify.score(pairs_(x, y), {name: spark_metric()})), XY + _CP, cells_of("c0", f"SELECT lat, lon, round({sql}, 6) + 0e0 AS {name} FROM c GROUP BY lat, lon"))
 
 
 _metric("pearson", verify.pearson, "corr(p, o)")
@@ -264,9 +269,9 @@ _metric("bic", verify.bic, f"-2 * {_LLK} + ln(count(*))")
 for _name, _of, _ranks in (("pearson_p", "p, o", False), ("spearman_p", "rp, ro", True)):
     _pairs = (lambda x, y: verify.ranked(continuous(x, y))) if _ranks else continuous
     _fn = verify.spearman_p if _ranks else verify.pearson_p
-    add(_name, xy_(lambda x, y, pairs_=_pairs, fn=_fn, n=_name: verify.score(pairs_(x, y), {n: fn()})), XY + _CP + [f"q AS (SELECT lat, lon, corr({_of}) AS r, CAST(count(*) AS INT) - 2 AS v FROM c GROUP BY ALL)", "q2 AS (SELECT lat, lon, v, abs(r) * sqrt(v / (1 - r * r)) AS t FROM q)"], f"SELECT lat, lon, round(2 * (1 - {t_sql('t', 'v')}), 6) + 0e0 AS {_name} FROM q2")
+    add(_name, xy_(lambda x, y, pairs_=_pairs, fn=_fn, n=_name: verify.score(pairs_(x, y), {n: fn()})), XY + _CP + [f"q AS (SELECT lat, lon, corr({_of}) AS r, CAST(count(*) AS INT) - 2 AS v FROM c GROUP BY ALL)", "q2 AS (SELECT lat, lon, v, abs(r) * sqrt(v / (1 - r * r)) AS t FROM q)"], cells_of("c0", f"SELECT lat, lon, round(2 * (1 - {t_sql('t', 'v')}), 6) + 0e0 AS {_name} FROM q2"))
 add("kendall_tau", xy_(lambda x, y: verify.kendall_tau(continuous(x, y))), XY + _CP + ["k AS (SELECT a.lat, a.lon, sign(b.p - a.p) AS dx, sign(b.o - a.o) AS dy FROM c a JOIN c b ON a.lat = b.lat AND a.lon = b.lon AND a.sample < b.sample)"], "SELECT lat, lon, round(sum(dx * dy) / sqrt(nullif(sum(abs(dx)) * sum(abs(dy)), 0)), 6) + 0e0 AS kendall_tau FROM k GROUP BY ALL")
-add("all_continuous_one_pass", xy_(lambda x, y: verify.score(continuous(x, y), {n: f() for n, f in (("pearson", verify.pearson), ("nse", verify.nse), ("kge", verify.kge), ("bias_ratio", verify.bias_ratio))})), XY + _CP, f"SELECT lat, lon, round(corr(p, o), 6) + 0e0 AS pearson, round({_NSE}, 6) + 0e0 AS nse, round(1 - sqrt(({_KGE[0]} - 1) * ({_KGE[0]} - 1) + ({_KGE[1]} - 1) * ({_KGE[1]} - 1) + ({_KGE[2]} - 1) * ({_KGE[2]} - 1)), 6) + 0e0 AS kge, round(avg(p) / nullif(avg(o), 0), 6) + 0e0 AS bias_ratio FROM c GROUP BY lat, lon")
+add("all_continuous_one_pass", xy_(lambda x, y: verify.score(continuous(x, y), {n: f() for n, f in (("pearson", verify.pearson), ("nse", verify.nse), ("kge", verify.kge), ("bias_ratio", verify.bias_ratio))})), XY + _CP, cells_of("c0", f"SELECT lat, lon, round(corr(p, o), 6) + 0e0 AS pearson, round({_NSE}, 6) + 0e0 AS nse, round(1 - sqrt(({_KGE[0]} - 1) * ({_KGE[0]} - 1) + ({_KGE[1]} - 1) * ({_KGE[1]} - 1) + ({_KGE[2]} - 1) * ({_KGE[2]} - 1)), 6) + 0e0 AS kge, round(avg(p) / nullif(avg(o), 0), 6) + 0e0 AS bias_ratio FROM c GROUP BY lat, lon"))
 
 # ---- probabilistic metrics -----------------------------------------------------------------------------------
 
