@@ -156,7 +156,7 @@ add("percentile_rank", x_(prep.percentile), X + [f"p AS (SELECT *, {_RANK} / cou
 _CL = ["k AS (SELECT *, month(sample) AS m FROM ym WHERE sample <= (SELECT make_date(max(year(sample))::INT, 12, 31) FROM ym))", f"mo AS (SELECT {_SER}, CAST(date_trunc('month', sample) AS DATE) AS sample, any_value(m) AS m, avg(value) AS v FROM k GROUP BY {_SER}, date_trunc('month', sample))", f"cl AS (SELECT {_SER}, m, avg(value) AS c FROM k GROUP BY ALL)"]
 add("remove_climatology", ym_(prep.remove_climatology), YM + _CL, f"SELECT {S4}, round(v - c, 6) + 0e0 AS value FROM mo JOIN cl USING ({_SER}, m)")
 add("gamma_fit_params", y_(lambda y: prep.GammaTransformer().fit(y).fitted), Y + [f"s AS (SELECT {_SER}, avg(value) AS m, avg(ln(value)) AS l, var_pop(value) AS v FROM y WHERE value > 2.220446049250313e-16 GROUP BY ALL)", "a AS (SELECT *, 4 * (ln(m) - l) AS a FROM s)", f"b AS (SELECT {_SER}, m, v, CASE WHEN a > 1.4901161193847656e-8 THEN (1 + sqrt(1 + a / 3)) / a WHEN v > 0 THEN m * m / v ELSE 0 END AS alpha, a FROM a)"], f"SELECT {_SER}, round(alpha, 6) + 0e0 AS alpha, round(CASE WHEN a > 1.4901161193847656e-8 THEN m / alpha WHEN v > 0 THEN v / m ELSE 0.0001 END, 6) + 0e0 AS beta FROM b")
-add("ecdf_percentile", y_(lambda y: prep.EmpiricalTransformer().fit(y).ecdf(y)), Y + [f"e AS (SELECT {S4}, cume_dist() OVER (PARTITION BY {_SER} ORDER BY value) AS p FROM y WHERE value IS NOT NULL)"], f"SELECT {S4}, round(least(0.9999, greatest(0.0001, p)), 6) + 0e0 AS value FROM y LEFT JOIN e USING ({S4})")
+add("ecdf_percentile", y_(lambda y: prep.EmpiricalTransformer().fit(y).ecdf(y)), Y + [f"e AS (SELECT {S4}, cume_dist() OVER (PARTITION BY {_SER} ORDER BY value) AS p FROM y WHERE value IS NOT NULL)"], f"SELECT {S4}, round(CASE WHEN p IS NOT NULL THEN least(0.9999, greatest(0.0001, p)) END, 6) + 0e0 AS value FROM y LEFT JOIN e USING ({S4})")
 add("gamma_transform", y_(lambda y: prep.GammaTransformer().fit(y).transform(y)))
 add("gamma_inverse", y_(lambda y: (lambda g: g.inverse_transform(g.transform(y)))(prep.GammaTransformer().fit(y))))
 add("empirical_transform", y_(lambda y: prep.EmpiricalTransformer().fit(y).transform(y)))
@@ -167,7 +167,7 @@ _RO = dict(lead_low=45, lead_high=45, base_year=1994, n_years=8)
 _DAYS = ["md AS (SELECT DISTINCT strftime(sample, '%m-%d') AS md FROM ym)", "dy AS (SELECT md, coalesce(try_cast('1994-' || md AS DATE), DATE '1994-02-28') AS b, unnest(range(0, 8)) AS j FROM md)", f"pool AS (SELECT {_SER}, md, value FROM ym JOIN dy ON ym.sample BETWEEN b + CAST(365 * (j + 1) - 45 AS INT) AND b + CAST(365 * (j + 1) + 45 AS INT))"]
 add("rolling_minmax", ym_(lambda y: rolling.RollingMinMax(**_RO).fit(y).transform(y)), YM + _DAYS + [f"f AS (SELECT {_SER}, md, min(value) AS lo, max(value) AS hi FROM pool GROUP BY ALL)"], f"SELECT ym.lat, ym.lon, sample, ym.feature, round(CASE WHEN hi <> lo THEN (value - lo) / (hi - lo) * 2 - 1 END, 6) + 0e0 AS value FROM ym LEFT JOIN f ON ym.lat = f.lat AND ym.lon = f.lon AND ym.feature = f.feature AND f.md = strftime(sample, '%m-%d')")
 add("rolling_onehot", ym_(lambda y: rolling.RollingOneHotEncoder(**_RO).fit(y).transform(y)), YM + _DAYS + th("f", "pool", 1 / 3, 2 / 3, _SER + ", md") + ["w AS (SELECT ym.lat, ym.lon, sample, CAST(coalesce(value <= lo, false) AS INT)::DOUBLE AS bn, CAST(coalesce(value > hi, false) AS INT)::DOUBLE AS an FROM ym LEFT JOIN f ON ym.lat = f.lat AND ym.lon = f.lon AND ym.feature = f.feature AND f.md = strftime(sample, '%m-%d'))", "w2 AS (SELECT *, 1 - an - bn AS nn FROM w)"], _long("w2"))
-add("regrid_bilinear", y_(lambda y: spatial.regrid(y, [157.5, 172.5, 187.5, 202.5], [-15.0, -7.5, 0.0, 7.5, 15.0])), Y + ["ta AS (SELECT unnest([-15e0, -7.5e0, 0e0, 7.5e0, 15e0]) AS la)", "tb AS (SELECT unnest([157.5e0, 172.5e0, 187.5e0, 202.5e0]) AS lo)", "yf AS (SELECT lat, lon, sample, feature, coalesce(value, avg(value) OVER (PARTITION BY sample, feature)) AS value FROM y)"], "SELECT la AS lat, lo AS lon, sample, feature, round(sum(value * (1 - abs(lat - la) / 10) * (1 - abs(lon - lo) / 15)), 6) + 0e0 AS value FROM yf JOIN ta ON abs(lat - la) < 10 JOIN tb ON abs(lon - lo) < 15 GROUP BY ALL")
+add("regrid_bilinear", y_(lambda y: spatial.regrid(y, [157.5, 172.5, 187.5, 202.5], [-15.0, -7.5, 0.0, 7.5, 15.0])), Y + ["ta AS (SELECT unnest([-15e0, -7.5e0, 0e0, 7.5e0, 15e0]) AS la)", "tb AS (SELECT unnest([157.5e0, 172.5e0, 187.5e0, 202.5e0]) AS lo)", "na AS (SELECT la, arg_min(lat, (abs(lat - la), lat)) AS nl FROM ta CROSS JOIN (SELECT DISTINCT lat FROM y) GROUP BY la)", "nb AS (SELECT lo, arg_min(lon, (abs(lon - lo), lon)) AS nl FROM tb CROSS JOIN (SELECT DISTINCT lon FROM y) GROUP BY lo)", "yf AS (SELECT lat, lon, sample, feature, value IS NULL AS gone, coalesce(value, avg(value) OVER (PARTITION BY sample, feature)) AS value FROM y)"], "SELECT na.la AS lat, nb.lo AS lon, sample, feature, round(CASE WHEN NOT bool_or(gone AND lat = na.nl AND lon = nb.nl) THEN sum(value * (1 - abs(lat - na.la) / 10) * (1 - abs(lon - nb.lo) / 15)) END, 6) + 0e0 AS value FROM yf JOIN na ON abs(lat - na.la) < 10 JOIN nb ON abs(lon - nb.lo) < 15 GROUP BY na.la, nb.lo, sample, feature")
 add("match_grids", xy_(lambda x, y: spatial.match(x, y.where("lat <= 10 and lon <= 195"))[0]), X + ["xr AS (SELECT lat, CASE WHEN lon > 180 THEN lon - 360 ELSE lon END AS lon, sample, feature, value FROM x)"], f"SELECT {S4}, {r('value')} FROM xr WHERE lat <= 10 AND (lon <= -165 OR lon > 0)")
 _W = spatial.weights(3)
 add("gaussian_smooth", y_(spatial.gaussian_smooth), Y + ["ix AS (SELECT lat, row_number() OVER (ORDER BY lat) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT lat FROM y))", "jx AS (SELECT lon, row_number() OVER (ORDER BY lon) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT lon FROM y))", "wt AS (SELECT * FROM (VALUES " + ", ".join(f"({d}, {lit(w)})" for d, w in _W) + ") AS v(d, w))", "na AS (SELECT a.lat AS to_lat, b.lat, w FROM ix a CROSS JOIN wt JOIN ix b ON b.i = CASE WHEN a.i + d < 0 THEN -1 - (a.i + d) WHEN a.i + d >= a.n THEN 2 * a.n - 1 - (a.i + d) ELSE a.i + d END)", "nb AS (SELECT a.lon AS to_lon, b.lon, w FROM jx a CROSS JOIN wt JOIN jx b ON b.i = CASE WHEN a.i + d < 0 THEN -1 - (a.i + d) WHEN a.i + d >= a.n THEN 2 * a.n - 1 - (a.i + d) ELSE a.i + d END)", "yf AS (SELECT lat, lon, sample, feature, coalesce(value, avg(value) OVER (PARTITION BY sample, feature)) AS v FROM y)", "sm AS (SELECT to_lat AS lat, to_lon AS lon, sample, feature, sum(v * na.w * nb.w) AS s FROM yf JOIN na USING (lat) JOIN nb USING (lon) GROUP BY ALL)"], f"SELECT {S4}, round(CASE WHEN value IS NOT NULL THEN s END, 6) + 0e0 AS value FROM y JOIN sm USING ({S4})")
@@ -207,7 +207,7 @@ def _acpac_rounds() -> list[str]:
 
 
 add("acpac_proba", xy_(lambda x, y: ACPAC().fit(x, y).predict_proba(x)), XY + _AC + _acpac_rounds(), _long("r3"))
-add("acpac_predict", xy_(lambda x, y: ACPAC().fit(x, y).predict(x)), XY + ["cl AS (SELECT lat, lon, avg(value) AS c FROM y GROUP BY ALL)", "ob AS (SELECT lat, lon, sample, avg(value) AS o FROM y GROUP BY ALL)", "sl AS (SELECT lat, lon, feature, avg((value - c) * (o - c)) / nullif(var_pop(value - c), 0) AS a FROM x JOIN ob USING (lat, lon, sample) JOIN cl USING (lat, lon) GROUP BY ALL)"], "SELECT lat, lon, sample, '0' AS feature, round(avg(value * a), 6) + 0e0 AS value FROM x JOIN sl USING (lat, lon, feature) GROUP BY ALL")
+add("acpac_predict", xy_(lambda x, y: ACPAC().fit(x, y).predict(x)), XY + ["cl AS (SELECT lat, lon, avg(value) AS c FROM y GROUP BY ALL)", "ob AS (SELECT lat, lon, sample, avg(value) AS o FROM y GROUP BY ALL)", "sl AS (SELECT lat, lon, feature, avg((value - c) * (o - c)) / nullif(var_pop(value - c), 0) AS a FROM x JOIN ob USING (lat, lon, sample) JOIN cl USING (lat, lon) GROUP BY ALL)"], "SELECT lat, lon, sample, '0' AS feature, round(avg(value * a), 3) + 0e0 AS value FROM x JOIN sl USING (lat, lon, feature) GROUP BY ALL", 3)
 
 # ---- regression ----------------------------------------------------------------------------------------------
 
@@ -369,10 +369,10 @@ add("gamma_regression", _fitted("gamma", models.predict))
 add("nan_regression", _fitted("nan_regression", models.predict), X, "SELECT DISTINCT lat, lon, sample, '0' AS feature, CAST(NULL AS DOUBLE) AS value FROM x")
 add("nan_classifier", _fitted("nan_classifier"), X, "SELECT DISTINCT lat, lon, sample, f AS feature, CAST(NULL AS DOUBLE) AS value FROM x CROSS JOIN (SELECT unnest(['BN', 'NN', 'AN']) AS f)")
 add("tune_params", lambda s, d: models.tune(prep.fill_spatial_mean(model_cube(s, d)), observed_cube(s, d), "elm", {"hidden": [2, 5], "regularization": [-10, -5, 0], "activation": ["relu", "tanh"]}, generations=3).select("lat", "lon", "goodness", F.array_join(F.array_sort(F.transform(F.map_entries("params"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",").alias("params")))
-add("eof_loadings", x_(lambda x: field.EOF(3).fit(x).loadings))
-add("eof_scores", x_(lambda x: field.EOF(3).fit(x).scores))
-add("eof_variance", x_(lambda x: field.EOF(3).fit(x).variance))
-add("eof_inverse", x_(lambda x: (lambda e: e.inverse_transform(e.scores))(field.EOF(3).fit(x))))
+add("eof_loadings", x_(lambda x: field.EOF(3).fit(prep.fill_spatial_mean(x)).loadings))
+add("eof_scores", x_(lambda x: field.EOF(3).fit(prep.fill_spatial_mean(x)).scores))
+add("eof_variance", x_(lambda x: field.EOF(3).fit(prep.fill_spatial_mean(x)).variance))
+add("eof_inverse", x_(lambda x: (lambda e: e.inverse_transform(e.scores))(field.EOF(3).fit(prep.fill_spatial_mean(x)))))
 add("pcr_predict", xy_(lambda x, y: field.PCR(2).fit(prep.fill_spatial_mean(x), y).predict(prep.fill_spatial_mean(x))))
 add("pcr_proba", xy_(lambda x, y: field.PCR(2).fit(prep.fill_spatial_mean(x), y).predict_proba(prep.fill_spatial_mean(x))))
 add("cca_predict", xy_(lambda x, y: field.CCA(search_override=(3, 3, 2)).fit(prep.fill_spatial_mean(x), y).predict()))
