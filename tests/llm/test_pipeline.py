@@ -1,5 +1,4 @@
-import pytest
-from pyspark.sql import functions as F
+import zlib
 
 import corpus_pipeline
 from skyquilt.llm import toxicity
@@ -7,7 +6,7 @@ from skyquilt.llm.queries import may_learn
 
 from .test_mixing_sharding_ann import check_mix
 from .test_text_operators import lined, slow_components, slow_fingerprint
-from .test_tokens_packing_pfor import check_pieces
+from .test_tokens_packing_pfor import truth
 
 COLUMNS = list(corpus_pipeline.COLUMNS)
 
@@ -48,13 +47,17 @@ def test_each_stage_against_brute_force(spark, tmp_path, sf, docs):
     assert got == {r.doc_id: r.taken for r in mixed if r.taken}
 
     before, after = steps["packing"]
-    rows_in = {}
+    want, got = [], []
     for r in before.collect():
-        rows_in.setdefault(r.doc_id, []).append(r.text)
-    single = {d: t[0] for d, t in rows_in.items() if len(t) == 1}
-    assert after.agg(F.sum("length")).first()[0] == sum(r.doc_tokens for r in after.where("start = 0").collect())
-    assert {r.doc_id for r in after.collect()} == set(rows_in) and single is not None
-    del check_pieces
+        ids = truth(r.text, 1)
+        want += [(r.doc_id, len(ids), i) for i in range(len(ids))]
+    texts = {}
+    for r in before.collect():
+        texts[r.doc_id, len(truth(r.text, 1))] = truth(r.text, 1)
+    for p in after.collect():
+        assert p.ids_crc32 == zlib.crc32(texts[p.doc_id, p.doc_tokens][p.start : p.start + p.length].tobytes())
+        got += [(p.doc_id, p.doc_tokens, i) for i in range(p.start, p.start + p.length)]
+    assert sorted(got) == sorted(want)
 
 
 def test_run_and_odd_rows(spark, tmp_path, odd, clashing, empty, sf):

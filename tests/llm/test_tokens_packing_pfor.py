@@ -15,10 +15,11 @@ from skyquilt.llm.tokens import default_vocabulary, encoder, library, sentence_e
 from .conftest import ODD
 
 PATH = default_vocabulary()
+LIBRARY = library(PATH)
 
 
 def truth(text, end):
-    ids = library(PATH).encode(text or "", add_special_tokens=False).ids
+    ids = LIBRARY.encode(text or "", add_special_tokens=False).ids
     return np.array([*ids, end], "<u4")
 
 
@@ -29,7 +30,7 @@ def test_ids_are_the_librarys(docs):
     texts += ["".join(random.choices(bits, k=random.randint(0, 30))) for _ in range(3000)]
     own = encoder(PATH)
     assert own.fast, "the fast path is the one to test"
-    for text, found in zip(texts, library(PATH).encode_batch_fast(texts, add_special_tokens=False)):
+    for text, found in zip(texts, LIBRARY.encode_batch_fast(texts, add_special_tokens=False)):
         assert own.ids(text).tolist() == found.ids
     assert own.ids(None).tolist() == own.ids("").tolist() == []
 
