@@ -198,10 +198,14 @@ def search(vectors: DataFrame, queries: "F.Column", *, id_col: str = "vec_id", v
                 row, at = np.nonzero((d <= d[:, :1] * (1 + prune)) | (held < enough))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[row, at].astype(np.int32)), some.column(0).take(pa.array(row)), some.column(1).take(pa.array(row))], ["list", "query_id", "q"])
 
-    blocks = spark.createDataFrame([(c, max(1, -(-s // block))) for c, s in enumerate(size.tolist())], "list int, blocks int")
-    asked = rows.where(queries).select("vec_id", "v").mapInArrow(probe, "list int, query_id long, q array<double>")
-    asked = asked.join(F.broadcast(blocks), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "query_id", "q")
-    stored = lists.join(F.broadcast(blocks), "list").select("list", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), "vec_id", "v")
+    asked = written(rows.where(queries).select("vec_id", "v").mapInArrow(probe, "list int, query_id long, q array<double>"), "ann-probes")
+    askers = {r[0]: r[1] for r in asked.groupBy("list").count().collect()}  # max_lists numbers at most
+    # a task meets one block of a list with one block of the queries that read it
+    blocks = spark.createDataFrame([(c, max(1, -(-int(size[c]) // block)), -(-n // block)) for c, n in askers.items()], "list int, blocks int, parts int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    asked = asked.join(F.broadcast(blocks), "list").select("list", every("blocks").alias("block"), own("query_id", "parts").alias("part"), "query_id", "q")
+    stored = lists.join(F.broadcast(blocks), "list").select("list", own("vec_id", "blocks").alias("block"), every("parts").alias("part"), "vec_id", "v")
 
     def score(left, right):
         import pyarrow as pa
@@ -228,7 +232,7 @@ def search(vectors: DataFrame, queries: "F.Column", *, id_col: str = "vec_id", v
         whole = [np.concatenate(x) if x else np.empty(0, t) for x, t in zip(out, (np.int64, np.int64, np.float64))]
         return pa.table({"query_id": whole[0], "vec_id": whole[1], "score": whole[2]})
 
-    found = asked.groupBy("list", "block").cogroup(stored.groupBy("list", "block")).applyInArrow(score, "query_id long, vec_id long, score double")
+    found = asked.groupBy("list", "block", "part").cogroup(stored.groupBy("list", "block", "part")).applyInArrow(score, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
