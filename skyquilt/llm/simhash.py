@@ -159,11 +159,13 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     Rows with a null id stay, as nothing says which of them is which.
     """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, width=width, distance=distance)
-    gone = found.where(col(id_col) > F.col("component_id")).select(col(id_col)).distinct()
-    kept = docs.join(gone, docs[f"`{id_col}`"] == gone[f"`{id_col}`"], "left_anti")
-    repeated = kept.groupBy(col(id_col)).count().where("count > 1").select(col(id_col).alias("__repeated")).where("__repeated is not null")
-    some = kept.join(repeated, kept[f"`{id_col}`"] == repeated["__repeated"], "left")
-    names = [col(c) for c in docs.columns]
-    own = Window.partitionBy("__repeated").orderBy(F.xxhash64(*names))
-    one = some.where("__repeated is not null").withColumn("__r", F.row_number().over(own)).where("__r = 1").select(*names)
-    return some.where("__repeated is null").select(*names).unionAll(one)
+    # lists of ids as tables of known size: Spark broadcasts them while they are small, and no text is shuffled
+    gone = written(found.where(col(id_col) > F.col("component_id")).select(col(id_col).alias("__sq_gone")).distinct(), "near-copies")
+    repeated = written(docs.select(col(id_col).alias("__sq_again")).where("__sq_again is not null").groupBy("__sq_again").count().where("count > 1").select("__sq_again"), "repeated-ids")
+    names, own = [col(c) for c in docs.columns], col(id_col)
+    kept = docs.join(gone, own == F.col("__sq_gone"), "left_anti")
+    single = kept.join(repeated, own == F.col("__sq_again"), "left_anti")
+    several = kept.join(repeated, own == F.col("__sq_again"), "left_semi")
+    order = Window.partitionBy(own).orderBy(F.xxhash64(*names))
+    one = several.withColumn("__sq_r", F.row_number().over(order)).where("__sq_r = 1").select(*names)
+    return single.unionAll(one)
