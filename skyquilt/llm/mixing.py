@@ -45,7 +45,7 @@ def apportion(votes: list[float], seats: int, limits: list[int]) -> list[int]:
             low = middle
         else:
             high = middle
-    won = at(high)
+    won = [max(0, w - 1) for w in at(high)]  # the last seat of each is handed out by exact quotients, as rounding may err at ties
     have = sum(won)
     heap = [(-votes[i] / (2 * won[i] + 1), i) for i in range(n) if votes[i] > 0 and won[i] < limits[i]]
     heapq.heapify(heap)
@@ -148,9 +148,9 @@ def repeat_taken(docs: DataFrame, mixed: DataFrame, *, id_col: str = "doc_id", t
                     break
             return t[:end]
 
-        return pd.Series([cut(t, n) for t, n in zip(text, words)])
+        return pd.Series([None if t is None else cut(t, n) for t, n in zip(text, words)])
 
     whole = F.col("__sq_words") >= F.col("__sq_size")
-    full = both.where(whole).select(*(F.col("__sq_row").getField(c).alias(c) for c in names))
-    part = both.where(~whole).select(*((head(F.col("__sq_row").getField(c), "__sq_words") if c == text_col else F.col("__sq_row").getField(c)).cast(fields[c].dataType).alias(c) for c in names))
-    return full.unionAll(part)
+    text = F.col("__sq_row").getField(text_col).cast("string")
+    cut_text = F.coalesce(F.when(whole, text), head(F.when(~whole, text), "__sq_words"))  # only texts to cut go to Python
+    return both.select(*((cut_text if c == text_col else F.col("__sq_row").getField(c)).cast(fields[c].dataType).alias(c) for c in names))
