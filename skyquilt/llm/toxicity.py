@@ -26,7 +26,7 @@ from skyquilt.llm.common import col, filesystem, work_dir, written
 ORDER, SLOTS, DISCOUNT = 6, 1 << 19, 0.75
 FOLDS, STRETCHES, STRONGEST, LEVELS = 5, (32, 8), (1, 3, 8), (1.5, 3.0)
 FEATURES = 1 + len(STRETCHES) + len(STRONGEST) + len(LEVELS)
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 
 def words_of(text: str | None) -> list[bytes]:
