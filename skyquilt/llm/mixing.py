@@ -77,7 +77,10 @@ def targets(sizes: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), share: fl
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, block_words: int = 64, shard_words: int = 1 << 24, seed: int = 7) -> DataFrame:
-    """`<id_col>, size, source_size, target, taken`: a row per row of `docs`.
+    """`<id_col>, size, source_size, target, taken, spans`: a row per row of `docs`.
+
+    spans are structs `first, last`, the words [first, last) of the text in order: what of the row lies in blocks that its source
+    takes once more than all others, neighbouring blocks in one span. Their words and the whole takes of the row add up to taken.
 
     size counts the words of a whole text (null: 0); taken is a whole number of words of at most `most * size`.
     A null source is a source of its own, a null id a value like any other. Repeated rows are rows each: those equal
@@ -118,39 +121,53 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
         return chosen(k) * block_words + (chosen(k + 1) - chosen(k)) * (x - k * block_words)
 
     taken = F.col("times") * F.col("size") + F.when(F.col("size") > 0, covered(F.col("end")) - covered(F.col("begin"))).otherwise(F.lit(0))
-    return rows.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"))
+    low, high = F.floor(F.col("begin") / block_words), F.floor((F.col("end") - 1) / block_words)
+    more = lambda k: chosen(k + 1) > chosen(k)
+    of = lambda edge: F.filter(F.sequence(low, high), edge)
+    span = lambda k, m: F.struct((F.greatest(k * block_words, F.col("begin")) - F.col("begin")).cast("long").alias("first"), (F.least((m + 1) * block_words, F.col("end")) - F.col("begin")).cast("long").alias("last"))
+    spans = F.zip_with(of(lambda k: more(k) & ((k == low) | ~more(k - 1))), of(lambda k: more(k) & ((k == high) | ~more(k + 1))), span)
+    spans = F.when((F.col("size") > 0) & (F.col("more") > 0), spans).otherwise(F.array().cast("array<struct<first:bigint,last:bigint>>"))
+    return rows.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"), spans.alias("spans"))
 
 
 def repeat_taken(docs: DataFrame, mixed: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` as the mix takes them: each text taken // size times whole, then its first taken % size words, if any.
+    """`docs` as the mix takes them: each text as often whole as all its blocks are taken, then a row for each of its spans.
 
-    Columns stay; of a null or repeated id, rows pair with `mixed` by order of text hash and size.
+    `mixed` is what mix() returns of `docs`. A span's text runs from its first word to its last. Columns stay; of a null or
+    repeated id, rows pair with `mixed` by order of text hash and size.
     """
     import re
 
     names, fields = docs.columns, docs.schema
     number = Window.partitionBy("__sq_id").orderBy("__sq_size", "__sq_hash")
     words = F.coalesce(F.regexp_count(col(text_col).cast("string"), F.lit(f"{WORD}+")), F.lit(0)).cast("long")
-    left = docs.select(F.struct(*(col(c) for c in names)).alias("__sq_row"), col(id_col).alias("__sq_id"), words.alias("__sq_size"), F.xxhash64(col(text_col)).alias("__sq_hash")).withColumn("__sq_n", F.row_number().over(number))
-    right = mixed.select(col(id_col).alias("__sq_rid"), F.col("size").alias("__sq_rsize"), "taken").withColumn("__sq_rn", F.row_number().over(Window.partitionBy("__sq_rid").orderBy("__sq_rsize", "taken")))
+    others = F.struct(*(col(c) for c in names if c != text_col))  # without the text, so that a span's row doesn't carry the whole of it
+    left = docs.select(others.alias("__sq_row"), col(text_col).cast("string").alias("__sq_text"), col(id_col).alias("__sq_id"), words.alias("__sq_size"), F.xxhash64(col(text_col)).alias("__sq_hash")).withColumn("__sq_n", F.row_number().over(number))
+    right = mixed.select(col(id_col).alias("__sq_rid"), F.col("size").alias("__sq_rsize"), "taken", F.col("spans").alias("__sq_spans"))
+    right = right.withColumn("__sq_rn", F.row_number().over(Window.partitionBy("__sq_rid").orderBy("__sq_rsize", "taken", "__sq_spans")))
     both = left.join(right, F.col("__sq_id").eqNullSafe(F.col("__sq_rid")) & (F.col("__sq_n") == F.col("__sq_rn")))
-    copies = F.expr("taken div greatest(__sq_size, 1)").cast("int")
-    rest = F.col("taken") - copies * F.col("__sq_size")
-    both = both.select("__sq_row", F.explode(F.concat(F.array_repeat(F.col("__sq_size"), copies), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))).alias("__sq_words"), "__sq_size")
-
-    @F.pandas_udf("string")
-    def head(text: pd.Series, words: pd.Series) -> pd.Series:
-        def cut(t, n):
-            end = 0
-            for k, m in enumerate(re.finditer(f"{WORD}+", t), 1):
-                end = m.end()
-                if k == n:
-                    break
-            return t[:end]
-
-        return pd.Series([None if t is None else cut(t, n) for t, n in zip(text, words)])
-
-    whole = F.col("__sq_words") >= F.col("__sq_size")
-    text = F.col("__sq_row").getField(text_col).cast("string")
-    cut_text = F.coalesce(F.when(whole, text), head(F.when(~whole, text), "__sq_words"))  # only texts to cut go to Python
-    return both.select(*((cut_text if c == text_col else F.col("__sq_row").getField(c)).cast(fields[c].dataType).alias(c) for c in names))
+
+    @F.pandas_udf("array<string>")
+    def pieces(text: pd.Series, firsts: pd.Series, lasts: pd.Series) -> pd.Series:
+        def cut(t, firsts, lasts):
+            out, at, begin = [], 0, 0
+            for k, m in enumerate(re.finditer(f"{WORD}+", t)):
+                if k == firsts[at]:
+                    begin = m.start()
+                if k + 1 == lasts[at]:
+                    out.append(t[begin : m.end()])
+                    if (at := at + 1) == len(firsts):
+                        break
+            return out
+
+        return pd.Series([None if t is None else cut(t, f.tolist(), e.tolist()) for t, f, e in zip(text, firsts, lasts)])
+
+    partial = F.aggregate("__sq_spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"])
+    both = both.withColumn("__sq_part", partial)
+    whole = F.col("__sq_part") == F.col("__sq_size")  # all blocks of the row are taken once more
+    copies = F.expr("(taken - if(__sq_part = __sq_size, 0, __sq_part)) div greatest(__sq_size, 1)").cast("int")
+    cuts = (F.col("__sq_part") > 0) & ~whole  # only texts to cut go to Python
+    cut = pieces(F.when(cuts, F.col("__sq_text")), F.col("__sq_spans.first"), F.col("__sq_spans.last"))
+    taken = F.concat(F.array_repeat(F.col("__sq_text"), copies), F.coalesce(F.when(cuts, cut), F.array().cast("array<string>")))
+    both = both.select("__sq_row", F.explode(taken).alias("__sq_text"))
+    return both.select(*((F.col("__sq_text") if c == text_col else F.col("__sq_row").getField(c)).cast(fields[c].dataType).alias(c) for c in names))

@@ -92,6 +92,20 @@ def test_mix_without_words(spark):
     assert sorted((r.doc_id, r.size, r.target, r.taken) for r in rows) == [(1, 0, 0.0, 0), (2, 0, 0.0, 0)]
 
 
+def test_repeated_texts_are_the_selected_blocks(spark):
+    text = {"a": " ".join(f"a{k}" for k in range(6400)), "b": " ".join(f"b{k}" for k in range(6400))}
+    docs = spark.createDataFrame([(1, text["a"], "a"), (2, text["b"], "b")], "doc_id long, text string, source string")
+    mixed = mixing.mix(docs, share=0.7)  # a: 6,400 words of 6,400; b: 2,560
+    row = {r.doc_id: r for r in mixed.collect()}
+    assert row[1].taken == 6400 and row[2].taken == 2560
+    out = [r.text for r in mixing.repeat_taken(docs, mixed).collect()]
+    assert [t for t in out if t.startswith("a")] == [text["a"]]
+    assert sorted(t for t in out if t.startswith("b")) == sorted(" ".join(text["b"].split()[s.first : s.last]) for s in row[2].spans)
+    blocks = sorted(int(w[1:]) // 64 for t in out if t.startswith("b") for w in t.split()[::64])
+    assert len(blocks) == 40 and max(np.diff(blocks)) <= 3 and blocks[-1] >= 97  # at even distances up to the end
+    assert sorted(int(w[1:]) for t in out if t.startswith("b") for w in t.split()) == [64 * k + i for k in blocks for i in range(64)]
+
+
 # ---- sharding ------------------------------------------------------------------------------------------------
 
 
