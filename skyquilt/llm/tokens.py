@@ -3,7 +3,8 @@
 `library(path)` is that library's own tokenizer. It encodes about 2 MB of this corpus a second and core, so
 `Encoder` reads vocabulary and merges through it once and runs them in tiktoken's merge loop, five times as fast;
 for a byte-level BPE whose merges are in id order both give the same ids (`tests/llm/test_tokens.py` compares
-them on whole tables and on random strings). Any other tokenizer file is run by the library itself.
+them on whole tables and on random strings). The library itself encodes texts with the string of an added token in them,
+texts that tiktoken gives up on (runs of a million white spaces), and for any other tokenizer file all texts.
 """
 
 from __future__ import annotations
@@ -22,14 +23,13 @@ def default_vocabulary() -> str:
 
 
 def library(path: str):
-    """The `tokenizers` library's tokenizer; strings of special tokens inside a text are ordinary text."""
+    """The `tokenizers` library's tokenizer as the file has it, but for truncation and padding."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     out = Tokenizer.from_file(path)
-    out.encode_special_tokens = True
     out.no_truncation()
     out.no_padding()
     return out
@@ -44,12 +44,13 @@ def _byte_of() -> dict[str, int]:
 
 class Encoder:
     def __init__(self, path: str):
-        self.path, self.fast = path, None
+        self.path, self.fast, self.slow = path, None, None
         spec = json.load(open(path, encoding="utf-8"))
         model, pre = spec["model"], spec.get("pre_tokenizer") or {}
         byte_level = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         if model.get("type", "BPE") == "BPE" and byte_level and not spec.get("normalizer") and not model.get("dropout"):
             special = {t["content"] for t in spec.get("added_tokens") or ()}
+            self.added = tuple(special)
             of = _byte_of()
             ranks = {bytes(of[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
             pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
@@ -59,16 +60,22 @@ class Encoder:
                 import tiktoken
 
                 self.fast = tiktoken.Encoding("of-file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        if not self.fast:
-            self.slow = library(path)
+
+    def _library_ids(self, text: str) -> np.ndarray:
+        if not self.slow:
+            self.slow = library(self.path)
+        return np.asarray(self.slow.encode(text, add_special_tokens=False).ids, "<u4")
 
     def ids(self, text: str | None) -> np.ndarray:
         """Little-endian uint32 ids of the whole text; null counts as empty."""
         if not text:
             return np.empty(0, "<u4")
-        if self.fast:
-            return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
-        return np.asarray(self.slow.encode(text, add_special_tokens=False).ids, "<u4")
+        if self.fast and not any(t in text for t in self.added):
+            try:
+                return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+            except ValueError:  # its regular expression has run out of stack
+                pass
+        return self._library_ids(text)
 
 
 def encoder(path: str) -> Encoder:

@@ -35,6 +35,15 @@ def test_ids_are_the_librarys(docs):
     assert own.ids(None).tolist() == own.ids("").tolist() == []
 
 
+def test_white_space_runs_and_added_tokens_are_the_unaltered_librarys():
+    from tokenizers import Tokenizer
+
+    plain, own = Tokenizer.from_file(PATH), encoder(PATH)
+    for text in ("x" + " " * 2_000_000 + "y", "\n" * 2_000_000, "a <|endoftext|> b", "<|endoftext|>", "<|endoftext|"):
+        assert own.ids(text).tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert 50256 in own.ids("a <|endoftext|> b")
+
+
 def padding(n):
     return 0 if n & (n - 1) == 0 else 2048 - n
 
