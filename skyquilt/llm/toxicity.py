@@ -11,8 +11,8 @@ fitted on ratios of models that have not seen the text (five folds), is the scor
 equal texts of the sample count once, so one much repeated text doesn't make its words look toxic.
 
 Size bounds: the labelled sample has at most `per_class` texts and `class_bytes` bytes of each class, so the class counts
-are bounded; the shared counts live in `SLOTS` hashed places per order whatever the corpus has. Both are tables in the
-shared folder that every worker reads once.
+are bounded; the shared counts are kept by k-gram, so they are exact and grow with the corpus's distinct 5-grams. Both are
+tables in the shared folder that every worker reads once.
 """
 
 from __future__ import annotations
@@ -51,6 +51,7 @@ def suffix(gram: np.ndarray, order: int) -> np.ndarray:
 
 
 def slot(key: np.ndarray) -> np.ndarray:
+    """One of SLOTS hashed places, for shared counts that aren't kept by k-gram."""
     return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 19)).astype(np.int64)
 
 
@@ -84,7 +85,7 @@ def corpus_grams(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def shared_counts(docs: DataFrame, text_col: str) -> DataFrame:
-    """`kind, slot, value`, at most SLOTS rows a kind. Kind 10k: continuation counts of k-grams; 10k+1, 10k+2: their sum and number per context."""
+    """`kind, gram, value`. Kind 10k: continuation counts of k-grams; 10k+1, 10k+2: their sum and number per context, whose k-1 bytes are the gram."""
     level, out = written(corpus_grams(docs, text_col), "toxicity-grams"), None  # read once for the texts, then as a table
     for k in range(ORDER - 1, 0, -1):
         level = written(level.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("gram")).agg(F.count("*").alias("n")), f"toxicity-grams-{k}")
@@ -100,11 +101,11 @@ def shared_counts(docs: DataFrame, text_col: str) -> DataFrame:
             kind, at, value = [], [], []
             for own, key, add in ((0, gram, n), (1, gram >> np.uint64(8), n), (2, gram >> np.uint64(8), np.ones_like(n))):
                 kind.append(k * 10 + own)
-                at.append(slot(key))
+                at.append(key.view(np.int64))
                 value.append(add)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kind).astype(np.int32)), pa.array(np.concatenate(at).astype(np.int32)), pa.array(np.concatenate(value).astype(np.int64))], ["kind", "slot", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kind).astype(np.int32)), pa.array(np.concatenate(at)), pa.array(np.concatenate(value).astype(np.int64))], ["kind", "gram", "value"])
 
-    return out.mapInArrow(run, "kind int, slot int, value long").groupBy("kind", "slot").agg(F.sum("value").alias("value"))
+    return out.mapInArrow(run, "kind int, gram long, value long").groupBy("kind", "gram").agg(F.sum("value").alias("value"))
 
 
 def class_counts(sample: DataFrame) -> DataFrame:
@@ -140,15 +141,25 @@ def _read(uri: str) -> dict[str, np.ndarray]:
     return {c: table[c].to_numpy() for c in table.column_names}
 
 
+def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the sorted keys, and whether the wanted ones are there."""
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
 class Model:
-    """Log-likelihood ratios of words. A fold's number leaves its texts out of the class counts; None uses all."""
+    """Log-likelihood ratios of words. A fold's number leaves its texts out of the class counts; None uses all.
+
+    `shared` is what shared_counts() gives; with a column `slot` instead of `gram`, counts in hashed places are looked up there.
+    """
 
     def __init__(self, shared: dict[str, np.ndarray], classes: dict[str, np.ndarray], fold: int | None = None):
-        self.shared = {}
+        self.key_of, keys = (slot, shared["slot"]) if "slot" in shared else (lambda gram: gram.view(np.int64), shared["gram"])
+        self.shared = {}  # sorted keys and their values; kinds 10k+1 and 10k+2 have the same keys
         for kind in np.unique(shared["kind"]).tolist():
-            own = shared["kind"] == kind
-            self.shared[kind] = np.zeros(SLOTS, np.float32)
-            self.shared[kind][shared["slot"][own]] = shared["value"][own]
+            own = np.flatnonzero(shared["kind"] == kind)
+            own = own[np.argsort(keys[own])]
+            self.shared[kind] = keys[own].astype(np.int64), shared["value"][own].astype(np.float32)
         order = np.argsort(classes["gram"].astype(np.int64).view(np.uint64))
         self.gram = classes["gram"].astype(np.int64).view(np.uint64)[order]
         use = [f for f in range(FOLDS) if f != fold]
@@ -167,9 +178,11 @@ class Model:
             if 10 * k not in self.shared:
                 continue
             key = suffix(gram, k)
-            at, context = slot(key), slot(key >> np.uint64(8))
-            total = self.shared[10 * k + 1][context].astype(np.float64)
-            own = np.maximum(self.shared[10 * k][at] - DISCOUNT, 0) + DISCOUNT * self.shared[10 * k + 2][context] * p
+            (grams_, count), (contexts, sums), (_, kinds) = (self.shared[10 * k + own] for own in range(3))
+            at, hit = _found(grams_, self.key_of(key))
+            near, seen = _found(contexts, self.key_of(key >> np.uint64(8)))
+            total = np.where(seen, sums[near], 0.0)
+            own = np.maximum(np.where(hit, count[at], 0.0) - DISCOUNT, 0) + DISCOUNT * np.where(seen, kinds[near], 0.0) * p
             p = np.where(total > 0, np.minimum(1.0, own / np.maximum(total, 1)), p)
         return np.maximum(p, 1e-12)
 

@@ -237,3 +237,31 @@ def test_model_is_kneser_ney():
     for w in (b"good", b"bad", b"goods", b"gold", b"unseen", b"ba"):
         want = sum(np.log(p(1, g)) - np.log(p(0, g)) for g in of(w))
         assert model.ratios([w])[0] == pytest.approx(want, rel=1e-5)
+
+
+def test_shared_counts_are_exact_for_a_large_vocabulary(spark):
+    rng = np.random.default_rng(5)
+    words = [bytes(w) for w in rng.integers(97, 123, (60_000, 8), np.uint8)]
+    docs = spark.createDataFrame([(" ".join(w.decode() for w in words[k::50]),) for k in range(50)], "text string")
+    table = toxicity.shared_counts(docs, "text").toPandas()
+    none = {"gram": np.empty(0, np.int64)} | {f"c{f}{y}": np.empty(0, np.int64) for f in range(toxicity.FOLDS) for y in (0, 1)}
+    model = toxicity.Model({c: table[c].to_numpy() for c in table.columns}, none)
+    asked = toxicity.grams(words[:300] + [b"unseen", b"zzzzzzzz"])[0]
+    level, shared = np.unique(toxicity.grams(words)[0]).tolist(), []
+    for k in range(5, 0, -1):
+        count = Counter(g & ((1 << 8 * k) - 1) for g in level)
+        level, total = list(count), Counter()
+        for g, n in count.items():
+            total[g >> 8] += n
+        shared.append((k, count, total, Counter(g >> 8 for g in count)))
+    assert len(shared[0][1]) > 250_000
+
+    def p(g):
+        out = 1 / 256
+        for k, count, total, number in reversed(shared):
+            key = g & ((1 << 8 * k) - 1)
+            if total[key >> 8]:
+                out = (max(count[key] - 0.75, 0) + 0.75 * number[key >> 8] * out) / total[key >> 8]
+        return out
+
+    assert model._backoff(asked) == pytest.approx([p(g) for g in asked.tolist()], rel=1e-5)
