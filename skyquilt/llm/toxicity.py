@@ -254,7 +254,8 @@ class Toxicity:
         """`corpus` gives shared counts and texts, `labels` classes; `train` (over `doc_id`) says whose labels may be learnt from.
 
         Null labels and ids aren't learnt from; of several labels of an id the highest counts. The sample has the ids with the
-        smallest hashes, as many ordinary as toxic at most; it is the same in each run.
+        smallest hashes, as many ordinary as toxic at most; it is the same in each run. Texts of over a hundredth of `class_bytes` are
+        taken last and by growing size, so a long text never displaces a short one.
         """
         spark = corpus.sparkSession
         known = labels.select(col(id_col).cast("long").alias("doc_id"), col(label_col).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
@@ -269,8 +270,11 @@ class Toxicity:
         ids = known.where("y = 0").orderBy("h", "doc_id").limit(self.per_class).unionAll(known.where("y = 1").orderBy("h", "doc_id").limit(self.per_class))
         texts = corpus.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
         picked = texts.join(F.broadcast(ids), "doc_id")  # at most 2 * per_class ids
-        so_far = Window.partitionBy("y").orderBy("h", "doc_id", F.octet_length("text"), F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0)
-        picked = picked.withColumn("bytes", F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(so_far)).where(F.col("bytes") <= self.class_bytes)
+        length = F.coalesce(F.octet_length("text"), F.lit(0))
+        share = F.lit(max(1, self.class_bytes // 100))
+        longer = F.when(length > share, F.ceil(F.log2(length / share)))  # null: a short text, which comes first
+        so_far = Window.partitionBy("y").orderBy(longer.asc_nulls_first(), "h", "doc_id", F.octet_length("text"), F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0)
+        picked = picked.withColumn("bytes", F.sum(length.cast("long")).over(so_far)).where(F.col("bytes") <= self.class_bytes)
         fold = F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold")
         sample = written(picked.select("text", "y", fold).dropDuplicates(["text", "y"]), "toxicity-sample")
         class_counts(sample).coalesce(4).write.parquet(class_at := work_dir(spark, "toxicity-classes"))

@@ -265,3 +265,15 @@ def test_shared_counts_are_exact_for_a_large_vocabulary(spark):
         return out
 
     assert model._backoff(asked) == pytest.approx([p(g) for g in asked.tolist()], rel=1e-5)
+
+
+def test_a_text_over_the_byte_bound_leaves_the_sample_whole(spark):
+    texts = [(k, f"you are a wretched blackguard number {k} indeed" if k % 2 else f"a quiet walk by the river on day {k}") for k in range(200)]
+    first = spark.range(1001, 100_000, 2).orderBy(F.xxhash64("id")).first()[0]  # in hash order this one is before all others
+    texts.append((first, "wretched blackguard " * 1200))  # longer than the bound
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k, _ in texts], "doc_id long, toxic int")
+    model = toxicity.Toxicity(class_bytes=20_000).fit(docs, labels)
+    assert model.beta is not None
+    rows = model.score(docs).collect()
+    assert all((r.score >= 0.5) == (r.doc_id % 2 == 1) for r in rows)
