@@ -154,7 +154,7 @@ def hexadecimal(fp) -> "F.Column":
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
-    """The rows of `docs` whose id is their component's smallest, all columns kept; of rows with that id one stays.
+    """The rows of `docs` whose id is their component's smallest, all columns kept; of such rows with one id one a component stays.
 
     Rows with a null id stay, as nothing says which of them is which.
     """
@@ -162,10 +162,21 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     # lists of ids as tables of known size: Spark broadcasts them while they are small, and no text is shuffled
     gone = written(found.where(col(id_col) > F.col("component_id")).select(col(id_col).alias("__sq_gone")).distinct(), "near-copies")
     repeated = written(docs.select(col(id_col).alias("__sq_again")).where("__sq_again is not null").groupBy("__sq_again").count().where("count > 1").select("__sq_again"), "repeated-ids")
+    # texts of one id may differ, so each of its rows goes or stays by its own fingerprint
+    apart = found.join(repeated, col(id_col) == F.col("__sq_again")).where(col(id_col) == F.col("component_id"))
+    apart = written(apart.select(col(id_col).alias("__sq_id"), F.col("fp").alias("__sq_stays")).distinct(), "repeated-ids-fingerprints")
     names, own = [col(c) for c in docs.columns], col(id_col)
-    kept = docs.join(gone, own == F.col("__sq_gone"), "left_anti")
-    single = kept.join(repeated, own == F.col("__sq_again"), "left_anti")
-    several = kept.join(repeated, own == F.col("__sq_again"), "left_semi")
+
+    @F.pandas_udf("long")
+    def print_of(texts):
+        import pandas as pd
+
+        return pd.Series(np.fromiter((fingerprint(t, width) for t in texts), np.uint64, len(texts)).view(np.int64))
+
+    single = docs.join(gone, own == F.col("__sq_gone"), "left_anti").join(repeated, own == F.col("__sq_again"), "left_anti")
+    several = docs.join(repeated, own == F.col("__sq_again"), "left_semi").withColumn("__sq_fp", print_of(col(text_col).cast("string")))
+    several = several.join(apart, (own == F.col("__sq_id")) & (F.col("__sq_fp") == F.col("__sq_stays")))
+    # rows of one id that stay are all of the component named after it
     order = Window.partitionBy(own).orderBy(F.xxhash64(*names))
     one = several.withColumn("__sq_r", F.row_number().over(order)).where("__sq_r = 1").select(*names)
     return single.unionAll(one)

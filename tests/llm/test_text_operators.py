@@ -164,6 +164,13 @@ def test_components_of_paths_and_stars(spark):
     assert all(found[i] == 0 for i in range(41)) and all(found[k] == 100 for k in range(100, 140)) and found[200] == found[-5] == -5
 
 
+def test_rows_of_one_id_go_by_their_own_fingerprint(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta", "one two three four five six seven", "red green blue white black brown")
+    docs = spark.createDataFrame([(1, a), (2, a), (2, b), (3, b), (4, c), (4, c), (4, a)], "doc_id long, text string")
+    kept = sorted((r.doc_id, r.text) for r in simhash.deduplicate(docs).collect())
+    assert kept == [(1, a), (2, b), (4, c)]
+
+
 # ---- toxicity ------------------------------------------------------------------------------------------------
 
 
