@@ -131,7 +131,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
 
 
 def repeat_taken(docs: DataFrame, mixed: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` as the mix takes them: each text as often whole as all its blocks are taken, then a row for each of its spans.
+    """`docs` as the mix takes them: each text as often whole as all its blocks are taken, then a row of its spans, parted by line feeds.
 
     `mixed` is what mix() returns of `docs`. A span's text runs from its first word to its last. Columns stay; of a null or
     repeated id, rows pair with `mixed` by order of text hash and size.
@@ -158,7 +158,7 @@ def repeat_taken(docs: DataFrame, mixed: DataFrame, *, id_col: str = "doc_id", t
                     out.append(t[begin : m.end()])
                     if (at := at + 1) == len(firsts):
                         break
-            return out
+            return ["\n".join(out)]
 
         return pd.Series([None if t is None else cut(t, f.tolist(), e.tolist()) for t, f, e in zip(text, firsts, lasts)])
 
