@@ -1,5 +1,7 @@
 import re
+import zlib
 from collections import Counter
+from functools import cache
 
 import numpy as np
 import pytest
@@ -180,7 +182,7 @@ def test_toxicity_held_out(spark):
     rows = scored.join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic"), "doc_id").where("held_out").collect()
     toxic = [r.predicted for r in rows if r.toxic == 1]
     clean = [r.predicted for r in rows if r.toxic == 0]
-    assert np.mean(toxic) > 0.6 and np.mean(clean) < 0.01  # few labels: 26 toxic texts a language other than English
+    assert np.mean(toxic) > 0.9 and np.mean(clean) < 0.005
     assert scored.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
 
 
@@ -196,82 +198,102 @@ def test_toxicity_odd_rows(spark, odd, clashing, empty):
     assert may_learn() is not None
 
 
-def test_model_is_kneser_ney():
-    """The ratio of a word by the definition, without tables: class counts above, shared continuation counts below."""
-    words = {0: {b"good": 3, b"goods": 1}, 1: {b"bad": 4, b"good": 1}}
-    everything = sorted({w for c in words.values() for w in c} | {b"other"})
-    six = lambda w: [bytes(5 * [0]) + w + b"\1"][0]
-    of = lambda w: [six(w)[i : i + 6] for i in range(len(w) + 1)]
-    sets = {6: {g for w in everything for g in of(w)}}
+def slow_words(text):
+    punctuation = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]))
+    return [(w.strip(punctuation.encode()) or w) for w in re.split(rb"[\x20\x09-\x0D]+", (text or "").lower().encode()) if w]
+
+
+def slow_shared(words):
+    """P(last byte | bytes before it) of the corpus by interpolated Kneser-Ney, from sets of grams."""
+    sets = {6: {(b"\0" * 5 + w + b"\1")[i : i + 6] for w in words for i in range(len(w) + 1)}}
     for k in range(5, 0, -1):
         sets[k] = {g[1:] for g in sets[k + 1]}
-    n = lambda k, g: sum(x[1:] == g for x in sets[k + 1])
+    count = {k: Counter(g[1:] for g in sets[k + 1]) for k in range(1, 6)}
+    total, kinds = ({k: Counter() for k in range(1, 6)} for _ in range(2))
+    for k in range(1, 6):
+        for g, n in count[k].items():
+            total[k][g[:-1]] += n
+            kinds[k][g[:-1]] += 1
+
+    def p(g):
+        out = 1 / 256
+        for k in range(1, 6):
+            t = g[len(g) - k :]
+            out = (max(count[k][t] - 0.75, 0) + 0.75 * kinds[k][t[:-1]] * out) / total[k][t[:-1]]
+        return out
 
-    def shared(k, g):
-        if k == 0:
-            return 1 / 256
-        own = [x for x in sets[k] if x[:-1] == g[:-1]]
-        total = sum(n(k, x) for x in own)
-        return (max(n(k, g) - 0.75, 0) + 0.75 * len(own) * shared(k - 1, g[1:])) / total if total else shared(k - 1, g[1:])
+    return p
 
-    def p(y, g):
-        counts = Counter()
-        for w, m in words[y].items():
-            for x in of(w):
-                counts[x] += m
-        own = [x for x in counts if x[:-1] == g[:-1]]
-        total = sum(counts[x] for x in own)
-        return (max(counts[g] - 0.75, 0) + 0.75 * len(own) * shared(5, g[1:])) / total if total else shared(5, g[1:])
-
-    grams = np.unique(toxicity.grams(everything)[0])
-    kind, at, value, level = [], [], [], grams
-    for k in range(5, 0, -1):
-        level, m = np.unique(toxicity.suffix(level, k), return_counts=True)
-        for own, key, add in ((0, level, m), (1, level >> np.uint64(8), m), (2, level >> np.uint64(8), np.ones_like(m))):
-            total = np.bincount(toxicity.slot(key), add, toxicity.SLOTS)
-            some = np.flatnonzero(total)
-            kind += [10 * k + own] * len(some)
-            at += some.tolist()
-            value += total[some].tolist()
-    counts = [Counter(), Counter()]
+
+def slow_ratio(counts, shared):
+    """log P(word | toxic) - log P(word | ordinary) by the definition; counts: words' numbers of texts by class."""
+    grams = [Counter(), Counter()]
+    for y in (0, 1):
+        for w, n in counts[y].items():
+            for i in range(len(w) + 1):
+                grams[y][(b"\0" * 11 + w + b"\1")[i : i + 12]] += n
+    total, left = ([Counter(), Counter()] for _ in range(2))
     for y in (0, 1):
-        for w, m in words[y].items():
-            for g in toxicity.grams([w])[0].tolist():
-                counts[y][g] += m
-    keys = np.array(sorted(set(counts[0]) | set(counts[1])), np.uint64)
-    classes = {"gram": keys.view(np.int64)} | {f"c{f}{y}": np.array([counts[y][g] if f == 0 else 0 for g in keys.tolist()]) for f in range(toxicity.FOLDS) for y in (0, 1)}
-    model = toxicity.Model({"kind": np.array(kind), "slot": np.array(at), "value": np.array(value)}, classes)
-    for w in (b"good", b"bad", b"goods", b"gold", b"unseen", b"ba"):
-        want = sum(np.log(p(1, g)) - np.log(p(0, g)) for g in of(w))
-        assert model.ratios([w])[0] == pytest.approx(want, rel=1e-5)
+        for g, n in grams[y].items():
+            total[y][g[:-1]] += n
+            left[y][g[:-1]] += min(n, 2)
+
+    def p(y, g):
+        t = total[y][g[:-1]]
+        return (max(grams[y][g] - 2, 0) + left[y][g[:-1]] * shared(g[-5:])) / t if t else shared(g[-5:])
+
+    def ratio(word):
+        return round(sum(np.log(p(1, g)) - np.log(p(0, g)) for g in ((b"\0" * 11 + word + b"\1")[i : i + 12] for i in range(len(word) + 1))), 9)
+
+    return ratio
+
+
+def slow_features(text, ratio):
+    r = [ratio(w) for w in slow_words(text)]
+    if not r:
+        return [0.0, 0.0, 0.0]
+    strong = sorted({x for x in r if x > 1})[-3:]
+    return [np.mean(r), np.mean([max(x - 2, 0) for x in r]), sum(strong) / 3]
+
+
+def test_every_score_is_that_of_the_definition(spark, sf, docs):
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = docs.select("doc_id", "text", F.pmod(F.xxhash64("text"), F.lit(5)).alias("fold")).collect()
+    shared = slow_shared({w for r in rows for w in slow_words(r.text)})
+    learnt = [r for r in rows if r.doc_id in labels and zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    sample = {(r.text, labels[r.doc_id]): r.fold for r in learnt}
+
+    def model(fold):
+        counts = [Counter(), Counter()]
+        for (t, y), f in sample.items():
+            if f != fold:
+                counts[y].update(set(slow_words(t)))
+        return cache(slow_ratio(counts, shared))
+
+    folds = {f: model(f) for f in range(5)}
+    x = np.array([slow_features(t, folds[f]) for (t, _), f in sample.items()])
+    y = np.array([c for _, c in sample], float)
+    base = np.mean([labels[r.doc_id] for r in learnt])
+    scale = x.std(0)
+    beta = toxicity.logistic(x / scale, y, np.where(y == 1, base / y.sum(), (1 - base) / (1 - y).sum()) * len(y))
+    whole = model(None)
+    want = {r.doc_id: 1 / (1 + np.exp(-(np.array(slow_features(r.text, whole)) / scale @ beta[:-1] + beta[-1]))) for r in rows}
+    got = {r.doc_id: r.score for r in op2_toxicity(spark, sf).collect()}
+    assert got.keys() == want.keys()
+    assert max(abs(got[d] - want[d]) for d in want) < 1e-7
 
 
 def test_shared_counts_are_exact_for_a_large_vocabulary(spark):
     rng = np.random.default_rng(5)
     words = [bytes(w) for w in rng.integers(97, 123, (60_000, 8), np.uint8)]
     docs = spark.createDataFrame([(" ".join(w.decode() for w in words[k::50]),) for k in range(50)], "text string")
-    table = toxicity.shared_counts(docs, "text").toPandas()
-    none = {"gram": np.empty(0, np.int64)} | {f"c{f}{y}": np.empty(0, np.int64) for f in range(toxicity.FOLDS) for y in (0, 1)}
-    model = toxicity.Model({c: table[c].to_numpy() for c in table.columns}, none)
-    asked = toxicity.grams(words[:300] + [b"unseen", b"zzzzzzzz"])[0]
-    level, shared = np.unique(toxicity.grams(words)[0]).tolist(), []
-    for k in range(5, 0, -1):
-        count = Counter(g & ((1 << 8 * k) - 1) for g in level)
-        level, total = list(count), Counter()
-        for g, n in count.items():
-            total[g >> 8] += n
-        shared.append((k, count, total, Counter(g >> 8 for g in count)))
-    assert len(shared[0][1]) > 250_000
-
-    def p(g):
-        out = 1 / 256
-        for k, count, total, number in reversed(shared):
-            key = g & ((1 << 8 * k) - 1)
-            if total[key >> 8]:
-                out = (max(count[key] - 0.75, 0) + 0.75 * number[key >> 8] * out) / total[key >> 8]
-        return out
-
-    assert model._backoff(asked) == pytest.approx([p(g) for g in asked.tolist()], rel=1e-5)
+    back = {r.tail: r.back for r in toxicity.shared_backoff(docs, "text").collect()}
+    assert len(back) > 250_000
+    p = slow_shared(set(words))
+    for w in words[:200]:
+        for i in range(9):
+            g = (b"\0" * 4 + w + b"\1")[i : i + 5]
+            assert back[int.from_bytes(g, "big")] == pytest.approx(p(g), rel=1e-12)
 
 
 def test_a_text_over_the_byte_bound_leaves_the_sample_whole(spark):
@@ -279,8 +301,16 @@ def test_a_text_over_the_byte_bound_leaves_the_sample_whole(spark):
     first = spark.range(1001, 100_000, 2).orderBy(F.xxhash64("id")).first()[0]  # in hash order this one is before all others
     texts.append((first, "wretched blackguard " * 1200))  # longer than the bound
     docs = spark.createDataFrame(texts, "doc_id long, text string")
-    labels = spark.createDataFrame([(k, k % 2) for k, _ in texts], "doc_id long, toxic int")
-    model = toxicity.Toxicity(class_bytes=20_000).fit(docs, labels)
+    labels = spark.createDataFrame([(k, k % 2) for k, _ in texts] + [(10**6 + k, k % 2) for k in range(3000)], "doc_id long, toxic int")  # most have no document
+    model = toxicity.Toxicity(class_bytes=20_000, per_class=150).fit(docs, labels)
     assert model.beta is not None
     rows = model.score(docs).collect()
     assert all((r.score >= 0.5) == (r.doc_id % 2 == 1) for r in rows)
+
+
+def test_rows_of_a_repeated_id_give_one_text(spark):
+    texts = [(k, f"you are a wretched blackguard number {k} indeed" if k % 2 else f"a quiet walk by the river on day {k}") for k in range(100)]
+    docs = spark.createDataFrame(texts + [(1, f"a quiet walk number {k}") for k in range(500)], "doc_id long, text string")
+    model = toxicity.Toxicity().fit(docs, spark.createDataFrame([(k, k % 2) for k in range(100)], "doc_id long, toxic int"))
+    got = {r.text: r.score for r in model.score(docs).where("doc_id between 2 and 99").collect()}
+    assert all((s >= 0.5) == ("wretched" in t) for t, s in got.items())
