@@ -35,11 +35,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    order = [name for name, _, _ in quality.rank_rules(docs.select("doc_id", "text"), quality.text_rules(F.col("text")))]
-    measured = quality.measures(docs)
-    base = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
-    return measured.select("*", base.alias("base_failed")).withColumn("kept", ~F.col("base_failed") & quality.cascade(quality.measured_rules(), order).isNull())
+    return quality.measured_and_judged(_table(spark, sf_dir, "documents"))
 
 
 def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,10 +93,14 @@ s AS (SELECT r, sum(least(8, coalesce(nxt - i, 8))) AS n FROM (SELECT r, i, lead
 m AS (SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')), 0)::BIGINT AS word_chars,
   coalesce(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')), 0)::BIGINT AS n_symbols,
   (len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines,
-  coalesce(s.n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN s USING (r))
-SELECT *, n_words < 20 OR n_repeat_words * 100 > n_words * 30 AS base_failed,
-  NOT (n_words < 20 OR n_repeat_words * 100 > n_words * 30 OR NOT word_chars BETWEEN n_words * 2 AND n_words * 16 OR n_symbols * 4 > n_words OR n_dup_lines * 10 > n_words) AS kept
-FROM m
+  coalesce(s.n, 0)::BIGINT AS n_repeat_words, text, words, string_split(text, chr(10)) AS lines FROM d LEFT JOIN s USING (r)),
+b AS (SELECT *, n_words < 20 OR n_repeat_words * 100 > n_words * 30 AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR NOT word_chars BETWEEN n_words * 2 AND n_words * 16 OR n_symbols * 4 > n_words OR n_dup_lines * 10 > n_words
+    OR (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) * 2 > word_chars OR (length(text) - length(regexp_replace(text, '[!?]', '', 'g'))) * 4 > n_words
+    OR (length(text) - length(regexp_replace(text, '[0-9]', '', 'g'))) * 2 > word_chars OR regexp_matches(text, '[^\x20\x09-\x0D]{200}')
+    OR len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]'))) * 10 > len(lines) * 9 OR len(list_distinct(words)) * 10 < n_words) AS kept
+FROM b
 """
 
 

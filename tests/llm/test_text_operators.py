@@ -31,35 +31,56 @@ def measured(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(hit)
 
 
-def kept(n, chars, symbols, dup, repeat):
+def kept(text, n, chars, symbols, dup, repeat):
+    text = text or ""
+    count = lambda kind: len(re.findall(kind, text))
+    lines = text.split("\n")
     base = n < 20 or 100 * repeat > 30 * n
-    return base, not (base or not 2 * n <= chars <= 16 * n or symbols * 4 > n or dup * 10 > n)
+    bad = not 2 * n <= chars <= 16 * n or symbols * 4 > n or dup * 10 > n or count("[A-Z]") * 2 > chars or count("[!?]") * 4 > n or count("[0-9]") * 2 > chars
+    bad = bad or max(map(len, WORDS.findall(text)), default=0) >= 200 or 10 * len(set(WORDS.findall(text))) < n
+    bad = bad or 10 * sum(bool(re.match(r"[\x20\x09-\x0D]*[-*\u2022]", x)) for x in lines) > 9 * len(lines)
+    return base, not (base or bad)
 
 
 def test_quality_whole_table(spark, sf, docs):
-    want = sorted((r.doc_id, *(m := measured(r.text)), *kept(*m)) for r in docs.collect())
+    want = sorted((r.doc_id, *(m := measured(r.text)), *kept(r.text, *m)) for r in docs.collect())
     assert sorted(map(tuple, op4_quality(spark, sf).collect())) == want
     assert 0.5 < np.mean([w[-1] for w in want]) < 1
 
 
-def test_quality_odd_rows(odd, clashing, empty):
+def test_quality_odd_rows(spark, odd, clashing, empty):
     for table in (odd, clashing):
-        got = quality.measures(table).collect()
-        assert sorted(map(repr, map(tuple, got))) == sorted(repr((r[0], *measured(r[1]))) for r in ODD)
+        got = quality.measured_and_judged(table).collect()
+        assert sorted(map(repr, map(tuple, got))) == sorted(repr((r[0], *(m := measured(r[1])), *kept(r[1], *m))) for r in ODD)
         names = [r.rejected_by for r in quality.judge(table).orderBy("doc_id").collect()]
-        assert all(n is None or n in quality.measured_rules() for n in names)
-    assert quality.judge(empty).count() == 0
+        assert all(n is None or n in quality.text_rules(F.col("text")) for n in names)
+    assert quality.judge(empty).count() == 0 and quality.measured_and_judged(empty).count() == 0
+    text = " ".join("word" + c * 3 for c in "abcdefghijklmnopqrstuvwxyz")
+    bad = {"shouting": text.upper(), "exclaiming": text + "!" * 9, "digits": " ".join(str(10**6 + k) for k in range(30)), "long_word": text + " " + "x" * 200, "bullets": "\n".join(f"- item number {k} of all" for k in range(10)), "few_distinct": " ".join(["a b c d e f g h i", "b a d c f e h g i", "c a b e f d h i g"] * 5)}
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate([text, *bad.values()])], "doc_id long, text string")
+    named = quality.judge(rows, rules=quality.further_rules(F.col("text"), quality.words(F.col("text")), quality.n_words(F.col("text")), quality.word_chars(F.col("text"))))
+    assert [r.rejected_by for r in named.orderBy("doc_id").collect()] == [None, *bad]
 
 
 def test_cascade_order_is_by_rejections_per_cost_and_changes_no_verdict(docs):
-    ticks = iter([0, 5, 5, 6, 6, 16, 16, 17, 17, 18])
-    order = quality.rank_rules(docs, quality.text_rules(F.col("text")), clock=lambda: next(ticks))
-    assert [n for n, *_ in order] == [n for n, *_ in sorted(order, key=lambda x: -x[2] / x[1])]
     rules = quality.text_rules(F.col("text"))
+    ticks = iter([x for k in range(len(rules) + 1) for x in (100 * k, 100 * k + 1 + k)])  # the k-th rule takes k seconds more than none
+    order = quality.rank_rules(quality.sampled(docs, 150), rules, repeats=1, clock=lambda: next(ticks))
+    assert sorted(s for _, s, _ in order) == list(range(1, len(rules) + 1))
+    assert [n for n, *_ in order] == [n for n, *_ in sorted(order, key=lambda x: -x[2] / x[1])]
     verdicts = [{r[0] for r in docs.where(quality.cascade(rules, list(names)).isNull()).select("doc_id").collect()} for names in (rules, list(rules)[::-1])]
     assert verdicts[0] == verdicts[1]
 
 
+def test_rules_after_a_rejection_are_not_evaluated(spark):
+    rows = spark.range(100).withColumn("text", F.when(F.col("id") < 60, F.lit("bad")).otherwise(F.lit("good")))
+    explodes = F.when(F.col("text") == "bad", F.raise_error(F.lit("evaluated"))).otherwise(F.lit(False)).cast("boolean")
+    rules = {"cheap": F.col("text") == "bad", "dear": explodes}
+    assert rows.select(quality.cascade(rules, ["cheap", "dear"]).alias("x")).groupBy("x").count().orderBy("count").collect()[1]["count"] == 60
+    with pytest.raises(Exception, match="evaluated"):
+        rows.select(quality.cascade(rules, ["dear", "cheap"]).alias("x")).collect()
+
+
 # ---- line dedup ----------------------------------------------------------------------------------------------
 
 
