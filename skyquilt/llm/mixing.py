@@ -5,10 +5,12 @@ what it can't take is shared again by weight among the rest until none is above.
 limit per weight, found with windows over the table of sources.
 
 Blocks: rows of a source are spread over shards by a seeded hash, about `shard_words` words each, and laid in seeded
-order; every `block_words` words of that stream are a block. Per shard, block seats go to the sources by highest
-quotients votes / (2k + 1), the votes being the part of a source's target that lies in this shard. A source with q seats and b blocks takes
-each block q // b times and q % b of them once more, at even distances from a seeded start. Which words of a row
-that covers follows from its place in the stream by arithmetic, so blocks are never rows of a table.
+order, shard after shard; every `block_words` words of that stream are a block (of a source with fewer than 64 such blocks every 64th part).
+Seats go to sources with blocks of one length by highest quotients votes / (2k + 1), the votes being their targets. A source
+with q seats and b blocks takes each block q // b times and q % b of them once more, at even distances from a seeded start. A shard's quota is
+the number of chosen blocks that begin in it: the rounding is carried from shard to shard, so a source that has few words in each
+still comes within a block of its target. Which words of a row are covered follows from its place in the stream by arithmetic, so blocks are
+never rows of a table.
 """
 
 from __future__ import annotations
@@ -76,76 +78,98 @@ def targets(sizes: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), share: fl
     return table.select("source", "rank", "source_size", F.when(F.col("full"), F.col("limit")).otherwise(F.col("per") * F.col("w")).alias("target"))
 
 
+#: A source has this many blocks at least, if it has as many words.
+LEAST_BLOCKS = 64
+
+
+def seats(goal: DataFrame, *, block_words: int, most: int) -> DataFrame:
+    """`goal` with `unit` (words of a block), `blocks` and `seats` of each source; sources with equal units are apportioned together."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rank")
+        won = apportion(pdf["target"].tolist(), int(pdf["target"].sum() / pdf["unit"].iloc[0] + 0.5), [most * b for b in pdf["blocks"].tolist()])
+        return pdf[["rank"]].assign(seats=won)
+
+    unit = F.greatest(F.lit(1), F.least(F.lit(block_words), F.floor(F.col("source_size") / LEAST_BLOCKS))).cast("long")
+    goal = goal.withColumn("unit", unit).withColumn("blocks", F.ceil(F.col("source_size") / F.col("unit")).cast("long"))
+    won = goal.select("rank", "unit", "blocks", "target").groupBy("unit").applyInPandas(run, "rank int, seats long")  # a row a source
+    return goal.join(won.select(F.col("rank").alias("won"), "seats"), F.col("rank") == F.col("won")).drop("won")
+
+
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, block_words: int = 64, shard_words: int = 1 << 24, seed: int = 7) -> DataFrame:
-    """`<id_col>, size, source_size, target, taken, spans`: a row per row of `docs`.
+    """`<id_col>, size, source_size, target, taken, spans, text_hash`: a row per row of `docs`.
 
     spans are structs `first, last`, the words [first, last) of the text in order: what of the row lies in blocks that its source
     takes once more than all others, neighbouring blocks in one span. Their words and the whole takes of the row add up to taken.
+    text_hash is the text's xxhash64; id and it say which row is meant.
 
     size counts the words of a whole text (null: 0); taken is a whole number of words of at most `most * size`.
-    A null source is a source of its own, a null id a value like any other. Repeated rows are rows each: those equal
-    in id, source and size hold neighbouring places of the stream. Extra columns are ignored; an empty table gives no row.
-    A source's taken words miss its target by about half a block a shard.
+    A null source is a source of its own, a null id a value like any other: rows are placed by id and text, so many rows of one id
+    don't meet in one shard. Repeated rows are rows each: those equal in id and text hold neighbouring places of the stream. Extra
+    columns are ignored; an empty table gives no row. A source's taken words miss its target by two blocks at most.
     """
-    words = F.coalesce(F.regexp_count(col(text_col).cast("string"), F.lit(f"{WORD}+")), F.lit(0)).cast("long")
-    rows = docs.select(col(id_col).alias("id"), col(source_col).cast("string").alias("source"), words.alias("size"))
-    place = F.xxhash64(F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("null")))
+    text = col(text_col).cast("string")
+    words = F.coalesce(F.regexp_count(text, F.lit(f"{WORD}+")), F.lit(0)).cast("long")
+    rows = docs.select(col(id_col).alias("id"), col(source_col).cast("string").alias("source"), words.alias("size"), F.xxhash64(text).alias("text_hash"))
+    place = F.xxhash64(F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("null")), "text_hash")
     rows = written(rows.withColumn("place", place), "mix-rows")
-    goal = written(targets(rows, weights=weights, share=share, most=most), "mix-targets", partitions=1)
+    goal = seats(targets(rows, weights=weights, share=share, most=most), block_words=block_words, most=most)
+    one = F.greatest(F.col("blocks"), F.lit(1))
+    goal = goal.withColumn("blocks", one).withColumn("times", F.expr("seats div blocks")).withColumn("more", F.expr("seats % blocks"))
+    goal = written(goal.withColumn("start", F.pmod(F.xxhash64(F.lit(seed + 2), "rank"), F.col("blocks"))), "mix-targets", partitions=1)
     shards = F.greatest(F.lit(1), F.ceil(F.col("all") / shard_words)).cast("int")
     # rows of no words count as one, so that a shard's rows are bounded as well
     shards = rows.agg(F.coalesce(F.sum(F.col("size") + 1), F.lit(0)).alias("all")).select(shards.alias("n")).first()[0]
-    g = goal.select(F.col("source").alias("g"), "rank", "source_size", "target")
-    rows = rows.join(g, F.col("source").eqNullSafe(F.col("g"))).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "place"), F.lit(shards)).cast("int"))
-    cells = rows.groupBy("shard", "rank").agg(F.sum("size").alias("cell"), F.first("target").alias("target"), F.first("source_size").alias("source_size"))
-
-    def seats(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank")
-        votes = [t * c / s if s else 0.0 for t, c, s in zip(pdf["target"].tolist(), pdf["cell"].tolist(), pdf["source_size"].tolist())]
-        blocks = [-(-int(c) // block_words) for c in pdf["cell"]]
-        won = apportion(votes, int(sum(votes) / block_words + 0.5), [most * b for b in blocks])
-        return pd.DataFrame({"shard": pdf["shard"], "rank": pdf["rank"], "blocks": blocks, "seats": won})
-
-    quota = cells.groupBy("shard").applyInPandas(seats, "shard int, rank int, blocks long, seats long")
-    quota = quota.select(F.col("shard").alias("qs"), F.col("rank").alias("qr"), "blocks", "seats")
+    ranks = goal.select("rank", F.col("source").alias("g"))
+    rows = rows.join(ranks, F.col("source").eqNullSafe(F.col("g"))).drop("g").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "place"), F.lit(shards)).cast("int"))
+    cells = rows.groupBy("shard", "rank").agg(F.sum("size").alias("cell"))
+    before = F.sum("cell").over(Window.partitionBy("rank").orderBy("shard")) - F.col("cell")  # one row a shard
+    cells = cells.withColumn("before", before).join(goal.drop("source", "seats"), "rank")
+    # a cell counts from the block in which it begins; what chosen() carries there is the one product that may pass 2^63
+    cells = cells.withColumn("first", F.expr("before div unit")).withColumn("skip", F.expr("before % unit"))
+    cells = cells.withColumn("carry", F.expr("cast((cast(first as decimal(19,0)) * cast(more as decimal(19,0)) + start) % blocks as long)"))
+    cells = written(cells.drop("cell", "before", "first", "start").withColumnRenamed("rank", "cr").withColumnRenamed("shard", "cs"), "mix-cells")
     stream = Window.partitionBy("shard", "rank").orderBy("place", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("end", F.sum("size").over(stream)).withColumn("begin", F.col("end") - F.col("size"))
-    rows = rows.join(quota, (F.col("shard") == F.col("qs")) & (F.col("rank") == F.col("qr")))
-    one = F.greatest(F.col("blocks"), F.lit(1))
-    rows = rows.withColumn("times", F.expr("seats div greatest(blocks, 1)")).withColumn("more", F.col("seats") % one)
-    rows = rows.withColumn("start", F.pmod(F.xxhash64(F.lit(seed + 2), "shard", "rank"), one))
-    chosen = lambda k: F.floor((k * F.col("more") + F.col("start")) / one)
+    rows = rows.withColumn("within", F.sum("size").over(stream))
+    rows = rows.join(cells, (F.col("shard") == F.col("cs")) & (F.col("rank") == F.col("cr")))
+    rows = rows.withColumn("end", F.col("skip") + F.col("within")).withColumn("begin", F.col("end") - F.col("size"))
+    unit = F.col("unit")
+    chosen = lambda k: F.call_function("div", F.col("carry") + k * F.col("more"), F.col("blocks"))
 
     def covered(x):
-        k = F.floor(x / block_words)
-        return chosen(k) * block_words + (chosen(k + 1) - chosen(k)) * (x - k * block_words)
+        k = F.floor(x / unit)
+        return chosen(k) * unit + (chosen(k + 1) - chosen(k)) * (x - k * unit)
 
     taken = F.col("times") * F.col("size") + F.when(F.col("size") > 0, covered(F.col("end")) - covered(F.col("begin"))).otherwise(F.lit(0))
-    low, high = F.floor(F.col("begin") / block_words), F.floor((F.col("end") - 1) / block_words)
+    low, high = F.floor(F.col("begin") / unit), F.floor((F.col("end") - 1) / unit)
     more = lambda k: chosen(k + 1) > chosen(k)
     of = lambda edge: F.filter(F.sequence(low, high), edge)
-    span = lambda k, m: F.struct((F.greatest(k * block_words, F.col("begin")) - F.col("begin")).cast("long").alias("first"), (F.least((m + 1) * block_words, F.col("end")) - F.col("begin")).cast("long").alias("last"))
+    span = lambda k, m: F.struct((F.greatest(k * unit, F.col("begin")) - F.col("begin")).cast("long").alias("first"), (F.least((m + 1) * unit, F.col("end")) - F.col("begin")).cast("long").alias("last"))
     spans = F.zip_with(of(lambda k: more(k) & ((k == low) | ~more(k - 1))), of(lambda k: more(k) & ((k == high) | ~more(k + 1))), span)
     spans = F.when((F.col("size") > 0) & (F.col("more") > 0), spans).otherwise(F.array().cast("array<struct<first:bigint,last:bigint>>"))
-    return rows.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"), spans.alias("spans"))
+    return rows.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"), spans.alias("spans"), "text_hash")
 
 
 def repeat_taken(docs: DataFrame, mixed: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` as the mix takes them: each text as often whole as all its blocks are taken, then a row of its spans, parted by line feeds.
 
-    `mixed` is what mix() returns of `docs`. A span's text runs from its first word to its last. Columns stay; of a null or
-    repeated id, rows pair with `mixed` by order of text hash and size.
+    `mixed` is what mix() returns of `docs`. A span's text runs from its first word to its last. Columns stay. Rows pair with
+    `mixed` by id and text hash; only rows equal in both are numbered.
     """
     import re
 
     names, fields = docs.columns, docs.schema
-    number = Window.partitionBy("__sq_id").orderBy("__sq_size", "__sq_hash")
-    words = F.coalesce(F.regexp_count(col(text_col).cast("string"), F.lit(f"{WORD}+")), F.lit(0)).cast("long")
+    mixed = written(mixed.select(col(id_col).alias("__sq_rid"), F.col("text_hash").alias("__sq_rhash"), F.col("size").alias("__sq_size"), "taken", F.col("spans").alias("__sq_spans")), "mix-taken")
+    again = written(mixed.groupBy("__sq_rid", "__sq_rhash").count().where("count > 1").select(F.col("__sq_rid").alias("__sq_aid"), F.col("__sq_rhash").alias("__sq_ahash")), "mix-repeated")
     others = F.struct(*(col(c) for c in names if c != text_col))  # without the text, so that a span's row doesn't carry the whole of it
-    left = docs.select(others.alias("__sq_row"), col(text_col).cast("string").alias("__sq_text"), col(id_col).alias("__sq_id"), words.alias("__sq_size"), F.xxhash64(col(text_col)).alias("__sq_hash")).withColumn("__sq_n", F.row_number().over(number))
-    right = mixed.select(col(id_col).alias("__sq_rid"), F.col("size").alias("__sq_rsize"), "taken", F.col("spans").alias("__sq_spans"))
-    right = right.withColumn("__sq_rn", F.row_number().over(Window.partitionBy("__sq_rid").orderBy("__sq_rsize", "taken", "__sq_spans")))
-    both = left.join(right, F.col("__sq_id").eqNullSafe(F.col("__sq_rid")) & (F.col("__sq_n") == F.col("__sq_rn")))
+    left = docs.select(others.alias("__sq_row"), col(text_col).cast("string").alias("__sq_text"), col(id_col).alias("__sq_id")).withColumn("__sq_hash", F.xxhash64("__sq_text"))
+    same = lambda one, two: F.col(f"__sq_{one}id").eqNullSafe(F.col(f"__sq_{two}id")) & (F.col(f"__sq_{one}hash") == F.col(f"__sq_{two}hash"))
+    both = left.join(mixed.join(again, same("r", "a"), "left_anti"), same("", "r"))
+    if not again.isEmpty():
+        own, other = Window.partitionBy("__sq_id", "__sq_hash").orderBy(F.xxhash64("__sq_row")), Window.partitionBy("__sq_rid", "__sq_rhash").orderBy("taken", "__sq_spans")
+        some = left.join(again, same("", "a"), "left_semi").withColumn("__sq_n", F.row_number().over(own))
+        several = mixed.join(again, same("r", "a"), "left_semi").withColumn("__sq_rn", F.row_number().over(other))
+        both = both.unionAll(some.join(several, same("", "r") & (F.col("__sq_n") == F.col("__sq_rn"))).drop("__sq_n", "__sq_rn"))
 
     @F.pandas_udf("array<string>")
     def pieces(text: pd.Series, firsts: pd.Series, lasts: pd.Series) -> pd.Series:

@@ -43,7 +43,7 @@ def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents")).drop("spans")
+    return mixing.mix(_table(spark, sf_dir, "documents")).drop("spans", "text_hash")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,6 +75,30 @@ def test_mix_many_shards(docs):
     check_mix(mixing.mix(docs, shard_words=20_000, block_words=8).collect(), [(r.doc_id, r.source, r.text) for r in docs.collect()], slack=80)
 
 
+def test_small_sources_of_many_shards_come_near_their_targets(spark):
+    """A source with few words a shard, one of a few words in all, and one of 100 words."""
+    rows = [(k, " ".join(["w"] * 200), "big") for k in range(10_000)] + [(20_000 + k, "rare", "rare") for k in range(300)]
+    rows += [(30_000, "one two three", "tiny"), *((40_000 + k, "five words are in here", "small") for k in range(20))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs, shard_words=2_000).groupBy("source_size").agg(F.first("target").alias("target"), F.sum("taken").alias("taken")).collect()
+    by = {r.source_size: (r.target, r.taken) for r in got}
+    assert abs(by[2_000_000][0] - by[2_000_000][1]) <= 128
+    for size, near in ((300, 8), (3, 1), (100, 2)):
+        assert by[size][0] == pytest.approx(2 * size) and abs(by[size][1] - by[size][0]) <= near
+
+
+def test_many_rows_without_an_id_are_spread_and_paired(spark):
+    rows = [(None, f"text number {k} without an id", "a") for k in range(300)] + [(None, "the same text", "b")] * 100 + [(1, f"and one {k}", "b") for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = mixing.mix(docs, shard_words=100, block_words=4)
+    got = Counter()
+    for r in mixing.repeat_taken(docs, mixed).collect():
+        got[r.source] += len(r.text.split())
+    want = {r.source: r.n for r in mixed.join(docs.select("source", F.xxhash64("text").alias("text_hash")).distinct(), "text_hash").groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+    assert got == want and all(n > 0 for n in want.values())
+    assert sorted(map(repr, mixed.collect())) == sorted(map(repr, mixing.mix(docs.repartition(7), shard_words=100, block_words=4).collect()))
+
+
 def test_mix_odd_rows(odd, clashing, empty):
     table = [(r[0], r[3], r[1]) for r in ODD]
     for t in (odd, clashing):
