@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -20,13 +23,14 @@ def col(name: str) -> Column:
 
 
 def base_dir(spark: SparkSession) -> str:
-    """The folder shared by all executors (`spark.checkpoint.dir`); a temporary one only where it is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder shared by all executors (`spark.checkpoint.dir`); where it is unset a temporary one, on a local master alone."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
-        at = spark.sparkContext.getCheckpointDir()
-        if not at:
-            at = tempfile.mkdtemp(prefix="skyquilt-")
-            spark.sparkContext.setCheckpointDir(at)
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="skyquilt-")
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(at)
     return at if "://" in at or at.startswith("file:") else f"file://{at}"
 
 
@@ -40,7 +44,17 @@ def written(df: DataFrame, name: str, *, partitions: int | None = None) -> DataF
     spark = df.sparkSession
     at = work_dir(spark, name)
     (df.coalesce(partitions) if partitions else df).write.mode("overwrite").parquet(at)
-    return spark.read.schema(T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])).parquet(at)
+    out = spark.read.schema(T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])).parquet(at)
+    out._written_at = at
+    return out
+
+
+def removed(*tables: DataFrame) -> None:
+    """Deletes tables that written() made, once nothing reads them any more."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table._written_at)
+        path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def let(value: Column, body) -> Column:

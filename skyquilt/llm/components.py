@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyquilt.llm.common import written
+from skyquilt.llm.common import removed, written
 
 
 def _print(links: DataFrame) -> tuple:
@@ -27,9 +27,10 @@ def components(links: DataFrame, name: str = "components", limit: int = 60) -> D
         least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), name)
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = written(large, name)
-        least = written(large.groupBy("a").agg(F.min("b").alias("m")), name)
-        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").where("a <> b").distinct()
-        links = written(small, name)
+        nearest = written(large.groupBy("a").agg(F.min("b").alias("m")), name)
+        small = large.join(nearest, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").where("a <> b").distinct()
+        old, links = links, written(small, name)
+        removed(old, least, large, nearest)  # the round's result no longer depends on them
         now = _print(links)
         if now == seen:
             break

@@ -1,15 +1,17 @@
 """SimHash near-duplicates over a byte-position inverted index with count filtering.
 
 Fingerprints of 64 bits are 8 positional bytes. Two that differ in at most `distance` = d bits share at least
-8 - d positional bytes: the guaranteed minimum of matches. The index therefore has a posting for every choice of 8 - d
-positions with their bytes; a pair whose tally of shared positional bytes reaches the minimum meets in one
-of them, a pair below it in none, so pairs that fall short are never made. In each posting list the tally is taken,
-and the pairs that pass are verified by their differing bits.
-
-Equal fingerprints are one entry. Lists above `block` entries are cut into blocks and each two blocks
-meet in a task of their own, so a task holds 2 * `block` fingerprints however long a list is; it emits a spanning
-forest of the links that it found, never all pairs. For d = 4 that makes 70 postings of 32 bits a fingerprint,
-as many at every size, and random fingerprints meet in one list out of 2^32 each.
+m = 8 - d positional bytes: the guaranteed minimum of matches. Postings of one positional byte would hold 1/256 of
+all fingerprints each; the index therefore has postings of `together` positions with their bytes, chosen so that every m
+positions contain one of them: each pair with m matches meets in one list at least. For every pair that meets, the shared
+positional bytes are tallied, pairs below the guaranteed minimum are dropped, and the differing bits of the others are counted.
+
+For d = 4, 20 postings of three bytes a fingerprint suffice (each four of eight positions contain one of the 20 triples); from
+`WIDE` distinct fingerprints on, 70 postings of four bytes, so that chance meetings stay below eight a fingerprint up to 10^9.
+
+Equal fingerprints are one entry. Lists above `block` entries are cut by hash into blocks and each two blocks
+meet in a task of their own, so a task holds about 2 * `block` fingerprints however long a list is; it emits a spanning
+forest of the links that it found, never all pairs.
 """
 
 from __future__ import annotations
@@ -56,14 +58,19 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
+def similar(diff: np.ndarray, distance: int) -> np.ndarray:
+    """Which pairs with these differing bits are links: the tally of shared positional bytes filters, then bits are counted."""
+    tally = np.zeros(diff.shape, np.int8)
+    for k in range(8):
+        tally += (diff >> np.uint64(8 * k)) & np.uint64(255) == 0
+    out = tally >= 8 - distance
+    out[out] = np.bitwise_count(diff[out]) <= distance
+    return out
+
+
 def forest(x: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Spanning forest, as index pairs, of the entries of one task; pairs pass the tally before they are verified."""
-    diff = x[:, None] ^ x[None, :]
-    bits = np.bitwise_count(diff)
-    near = bits <= distance
-    if len(x) > 2:
-        tally = sum(((diff >> np.uint64(8 * k)) & np.uint64(255)) == 0 for k in range(8))
-        near &= tally >= 8 - distance
+    """Spanning forest, as index pairs, of the links between the entries of one task."""
+    near = similar(x[:, None] ^ x[None, :], distance)
     fresh, out = np.ones(len(x), bool), []
     for root in range(len(x)):
         if not fresh[root]:
@@ -89,7 +96,7 @@ def _links(batches, distance: int):
         begin, end = np.concatenate([[0], edge]), np.concatenate([edge, [len(fp)]])
         size = end - begin
         two = begin[size == 2]
-        two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= distance]
+        two = two[similar(fp[two] ^ fp[two + 1], distance)]
         a, b = [fp[two]], [fp[two + 1]]
         for s, e in zip(begin[size > 2].tolist(), end[size > 2].tolist()):
             if pairs := forest(fp[s:e], distance):
@@ -111,23 +118,46 @@ def _links(batches, distance: int):
         yield solve(task, fp)
 
 
-def links(entries: DataFrame, *, distance: int = 4, block: int = 2048) -> DataFrame:
-    """Links `a, b` between the distinct fingerprints `fp` that connect all pairs within `distance` bits."""
+def postings(matches: int, together: int) -> list[tuple[int, ...]]:
+    """Sets of `together` of the 8 positions, such that each set of `matches` positions contains one; greedily few."""
+    open_ = {frozenset(c) for c in combinations(range(8), matches)}
+    if together == matches:
+        return list(combinations(range(8), matches))
+    if (matches, together) == (4, 3):  # Turan's 20 triples over the groups 012, 345, 67
+        group = [0, 0, 0, 1, 1, 1, 2, 2]
+        shape = lambda c: sorted(group[k] for k in c)
+        return [c for c in combinations(range(8), 3) if shape(c) in ([0, 0, 0], [1, 1, 1], [0, 0, 1], [1, 1, 2], [0, 2, 2])]
+    chosen = []
+    while open_:
+        best = max(combinations(range(8), together), key=lambda c: sum(o.issuperset(c) for o in open_))
+        chosen.append(best)
+        open_ = {o for o in open_ if not o.issuperset(best)}
+    return chosen
+
+
+#: From so many distinct fingerprints on, postings have as many bytes as must match.
+WIDE = 10_000_000
+
+
+def links(entries: DataFrame, *, distance: int = 4, block: int = 2048, together: int | None = None) -> DataFrame:
+    """Links `a, b` between the distinct fingerprints `fp` that connect all pairs within `distance` bits (7 at most)."""
+    matches = 8 - distance
+    together = together or (matches if matches < 2 or entries.count() >= WIDE else matches - 1)
     byte = [F.shiftrightunsigned("fp", 8 * k).bitwiseAND(F.lit(255)) for k in range(8)]
     keys = []
-    for i, positions in enumerate(combinations(range(8), 8 - distance)):
+    for i, positions in enumerate(postings(matches, together)):
         key = F.lit(i).cast("long")
-        if len(positions) <= 6:
+        if together <= 6:
             for k in positions:
                 key = F.shiftleft(key, 8).bitwiseOR(byte[k])
         else:
             key = F.xxhash64(key, *(byte[k] for k in positions))
         keys.append(key)
-    postings = entries.select("fp", F.explode(F.array(*keys)).alias("key"))
-    own = Window.partitionBy("key")
-    listed = postings.select("key", "fp", F.count("*").over(own).alias("n"), F.row_number().over(own.orderBy("fp")).alias("r")).where("n > 1")
-    at, blocks = F.floor((F.col("r") - 1) / block).cast("int"), F.ceil(F.col("n") / block).cast("int")
-    tasks = listed.select("key", "fp", at.alias("at"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    listed = entries.select("fp", F.explode(F.array(*keys)).alias("key"))
+    sizes = listed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("list"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    # a list that many entries share is a skewed side of this join, which the adaptive join splits
+    listed = listed.join(sizes, F.col("key") == F.col("list")).select("key", "fp", "blocks", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int").alias("at"))
+    tasks = listed.select("key", "fp", "at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     tasks = tasks.select("key", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "fp")
     return tasks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lambda it: _links(it, distance), "a long, b long").distinct()
 

@@ -1,3 +1,4 @@
+import itertools
 import re
 import zlib
 from collections import Counter
@@ -181,6 +182,34 @@ def test_links_of_hot_lists_connect_what_brute_force_connects(spark, block):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, truth.values()))
 
 
+def test_postings_contain_a_part_of_every_choice_of_matches():
+    for distance in range(8):
+        matches = 8 - distance
+        for together in {matches, max(1, matches - 1)}:
+            sets = [set(c) for c in simhash.postings(matches, together)]
+            assert all(len(c) == together for c in sets)
+            assert all(any(c <= set(choice) for c in sets) for choice in itertools.combinations(range(8), matches))
+    assert len(simhash.postings(4, 3)) == 20 and len(simhash.postings(4, 4)) == 70
+
+
+def test_pairs_under_the_tally_are_dropped_before_bits_are_counted():
+    a = np.uint64(0)
+    close = np.uint64(0b1111)  # 4 bits of one byte: seven bytes shared
+    spread = np.uint64(0x0101010101)  # 5 bits in 5 bytes: three shared
+    assert simhash.similar(np.array([a ^ close, a ^ spread, a]), 4).tolist() == [True, False, True]
+    assert simhash.similar(np.array([np.uint64(0xFF)]), 4).tolist() == [False]
+
+
+@pytest.mark.parametrize("together", [3, 4])
+def test_both_kinds_of_postings_find_the_same_links(spark, together):
+    generator = np.random.default_rng(9)
+    base = generator.integers(0, 1 << 63, 40)
+    prints = sorted({int(b) ^ sum(1 << int(k) for k in generator.choice(63, generator.integers(0, 6), replace=False)) for b in base for _ in range(10)})
+    roots = components(simhash.links(spark.createDataFrame([(p,) for p in prints], "fp long"), together=together))
+    found = {r.node: r.root for r in roots.collect()}
+    assert [found.get(p, p) for p in prints] == slow_components(prints, prints)
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, k) for k in range(101, 140)] + [(-5, 200), (7, 7)]
     found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
