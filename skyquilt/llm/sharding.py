@@ -75,21 +75,21 @@ def plan(points: list[tuple[int, int]], counts: dict[int, int], shards: int) ->
 def shard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shards: int = 8, nodes: int = 256, seed: int = 0) -> DataFrame:
     """`<id_col>, size, text_crc32, shard, slot`: law `rows`, slots gapless from 0 in each shard.
 
-    size is the text's UTF-8 bytes plus 1; null texts count as empty. The place is a hash of the id; a null id
-    is a key like any other. Rows with equal ids are ranked by size and checksum, and those equal in these too
+    size is the text's UTF-8 bytes plus 1; null texts count as empty. The place is a hash of id, size and checksum, so
+    rows that share an id, or have none, lie on many arcs. Rows equal in all three
     share what their ranks got in any order. An empty table gives no row; shards may be empty if rows are few.
     """
     spark, text = docs.sparkSession, F.coalesce(col(text_col).cast("string"), F.lit(""))
     points = ring(shards, nodes, seed)
     rows = docs.select(col(id_col).alias("id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("crc"))
     places = [p for p, _ in points]
-    rows = written(rows.select("*", F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("null"))).alias("place")), "shard-rows")
 
     @F.pandas_udf("int")
     def arc_of(place: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(np.array(places), place.to_numpy(), "left") % len(places))
 
-    found = rows.withColumn("arc", arc_of("place"))
+    place = F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("null")), "size", "crc")
+    found = written(rows.withColumn("place", place).withColumn("arc", arc_of("place")), "shard-rows")
     counts = {r[0]: r[1] for r in found.groupBy("arc").count().collect()}  # shards * nodes numbers at most
     runs = plan(points, counts, shards)
     runs = spark.createDataFrame(runs or [(0, 0, 0, 0, 0)], "arc int, first long, last long, shard int, slot0 long")

@@ -152,6 +152,37 @@ def test_shards_whole_table(spark, sf, docs):
     assert {r.law for r in rows} == {"rows"} and {r.grown_shard for r in rows} == {None}
 
 
+def test_shards_are_those_of_rows_placed_one_by_one(spark, docs):
+    """The law by its definition: rows by place, first into their own shard while it has room, then the rest clockwise."""
+    rows = sharding.shard(docs, shards=3, nodes=5)
+    place = F.xxhash64(F.col("doc_id").cast("string"), "size", "text_crc32")
+    table = [(r.place, r.doc_id, r.shard) for r in rows.select(place.alias("place"), "doc_id", "shard").collect()]
+    points = sharding.ring(3, 5)
+    arc = {d: next((i for i, (p, _) in enumerate(points) if p >= place), 0) for place, d, _ in table}
+    order = sorted(table, key=lambda r: (arc[r[1]], r[0]))
+    room, want, rest = [len(table) // 3 + (s < len(table) % 3) for s in range(3)], {}, []
+    for _, d, _ in order:
+        own = points[arc[d]][1]
+        if room[own]:
+            room[own] -= 1
+            want[d] = own
+        else:
+            rest.append(d)
+    for d in rest:
+        step = arc[d]
+        while not room[points[step % 15][1]]:
+            step += 1
+        room[points[step % 15][1]] -= 1
+        want[d] = points[step % 15][1]
+    assert want == {d: s for _, d, s in table}
+
+
+def test_rows_without_an_id_lie_on_many_arcs(spark):
+    table = spark.createDataFrame([(None, f"text {k}") for k in range(2000)], "doc_id long, text string")
+    found = sharding.shard(table).groupBy("shard").agg(F.countDistinct("text_crc32").alias("n")).collect()
+    assert sorted(r.n for r in found) == [250] * 8
+
+
 def test_shards_odd_rows(odd, clashing, empty):
     for t in (odd, clashing):
         check_shards(sharding.shard(t).collect(), [(r[0], r[1]) for r in ODD])
