@@ -181,8 +181,8 @@ class Reader:
 def write_ids(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = 0, percentile: float = 0.9, to: str | None = None) -> DataFrame:
     """Writes the files; returns their manifest: `shard int, path string, n_docs long, n_tokens long`, shards in document order.
 
-    Documents are range-partitioned and sorted by id (nulls first; equal ids by text), encoded and written by the
-    tasks. A task writes under a name of its own and only what a successful task reports is in the manifest,
+    Documents are range-partitioned and sorted by id (nulls first; equal ids by text hash, then as they were read, so many rows of
+    one id are cut into several files as well), encoded and written by the tasks. A task writes under a name of its own and only what a successful task reports is in the manifest,
     so retries and lost executors leave no half file in it. Null and empty texts have the end id alone.
     """
     spark, path = docs.sparkSession, vocabulary or default_vocabulary()
@@ -207,7 +207,9 @@ def write_ids(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
             out.close()
             yield pa.RecordBatch.from_pylist([{"shard": shard, "path": f"{to}/{at.rpartition('/')[2]}", "n_docs": len(writer.docs), "n_tokens": writer.total}], pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
-    ordered = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
+    order = ("doc_id", "hash", "read")
+    ordered = ordered.withColumn("hash", F.xxhash64("text")).withColumn("read", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     return written(ordered.mapInArrow(run, "shard int, path string, n_docs long, n_tokens long"), "token-id-manifest")
 
 
