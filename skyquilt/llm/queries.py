@@ -21,7 +21,7 @@ def may_learn() -> F.Column:
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_archives(_table(spark, sf_dir, "pages"), min_bytes=0)
-    return warc.read_archives(manifest, keep_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.verified(warc.read_archives(manifest, keep_payload=False)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

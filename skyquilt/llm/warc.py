@@ -3,7 +3,8 @@
 `write_archives` turns pages into such archives, one per task; `read_archives` and `records` read any archive of
 this kind. Reading validates: the skippable frame and its dictionary, that each frame holds exactly one record, the
 version line, the mandatory headers, that Content-Length is the block's length and the end mark follows it, the
-HTTP Content-Length of responses, and payload digests. A fault raises ValueError with the record's place.
+HTTP Content-Length of responses, and payload digests; `verified` holds revisits against what they refer to. A fault raises
+ValueError with the record's place.
 """
 
 from __future__ import annotations
@@ -250,3 +251,17 @@ def read_archives(manifest: DataFrame, *, path_col: str = "path", keep_payload:
                         yield batch(rows)
 
     return manifest.select(col(path_col)).repartition(max(1, manifest.count())).mapInArrow(run, schema)
+
+
+def verified(records: DataFrame) -> DataFrame:
+    """The rows of read_archives() as a written table, every revisit of which refers to a response of its digest and length.
+
+    Each kind of revisit is compared once, so a payload that many records revisit is no hot key; a dangling or wrong one raises.
+    """
+    records = written(records, "warc-records")
+    revisits = records.where("record_type = 'revisit'").groupBy(F.col("refers_to").alias("to"), F.col("payload_digest").alias("digest"), F.col("payload_bytes").alias("bytes")).agg(F.min(F.struct("path", "place")).alias("at"))
+    responses = records.where("record_type = 'response'").select("page_id", "payload_digest", "payload_bytes")
+    same = (F.col("to") == F.col("page_id")) & (F.col("digest") == F.col("payload_digest")) & (F.col("bytes") == F.col("payload_bytes"))
+    if bad := revisits.join(responses, same, "left_anti").select("at.path", "at.place", "to").first():
+        raise ValueError(f"the revisit at byte {bad.place} of {bad.path} refers to page {bad.to}, of which there is no response with its digest and length")
+    return records

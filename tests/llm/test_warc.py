@@ -97,3 +97,15 @@ def test_dictionary_is_used_and_may_be_compressed():
     assert [h["warc-record-id"] for _, h, _, _ in warc.records(io.BytesIO(again))] == [f"<urn:page:{k}>" for k in range(400)]
     with pytest.raises(ValueError, match="no dictionary"):
         list(warc.records(io.BytesIO(struct.pack("<II", warc.SKIPPABLE, 4) + b"abcd" + data[8 + size :])))
+
+
+def test_revisits_are_held_against_what_they_refer_to(spark, tmp_path):
+    def rows(*more):
+        at = tmp_path / f"{len(more)}-{len(more[-1]) if more else 0}.warc.zst"
+        at.write_bytes(archive(GOOD, warc.record("revisit", 2, "http://a", b"<p>x</p>", 1), *more))
+        return warc.read_archives(spark.createDataFrame([(f"file://{at}",)], "path string"))
+
+    assert warc.verified(rows()).count() == 2
+    for bad in (warc.record("revisit", 3, "http://a", b"<p>y</p>", 1), warc.record("revisit", 3, "http://b/longer", b"<p>x</p>", 9)):
+        with pytest.raises(ValueError, match="refers to page"):
+            warc.verified(rows(bad))
