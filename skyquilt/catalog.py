@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from skyquilt.operators import diagnostics, field, folds, mlr, models, prep, rolling, select, spatial, verify
 from skyquilt.operators.core import guessed, shape
 from skyquilt.operators.ensemble import ACPAC, Ensemble
+from skyquilt import sqlparts as sql
 from skyquilt.plans import hindcast
 from skyquilt.sources.cubes import model_cube, observed_cube
 
@@ -157,12 +158,14 @@ _CL = ["k AS (SELECT *, month(sample) AS m FROM ym WHERE sample <= (SELECT make_
 add("remove_climatology", ym_(prep.remove_climatology), YM + _CL, f"SELECT {S4}, round(v - c, 6) + 0e0 AS value FROM mo JOIN cl USING ({_SER}, m)")
 add("gamma_fit_params", y_(lambda y: prep.GammaTransformer().fit(y).fitted), Y + [f"s AS (SELECT {_SER}, avg(value) AS m, avg(ln(value)) AS l, var_pop(value) AS v FROM y WHERE value > 2.220446049250313e-16 GROUP BY ALL)", "a AS (SELECT *, 4 * (ln(m) - l) AS a FROM s)", f"b AS (SELECT {_SER}, m, v, CASE WHEN a > 1.4901161193847656e-8 THEN (1 + sqrt(1 + a / 3)) / a WHEN v > 0 THEN m * m / v ELSE 0 END AS alpha, a FROM a)"], f"SELECT {_SER}, round(alpha, 6) + 0e0 AS alpha, round(CASE WHEN a > 1.4901161193847656e-8 THEN m / alpha WHEN v > 0 THEN v / m ELSE 0.0001 END, 6) + 0e0 AS beta FROM b")
 add("ecdf_percentile", y_(lambda y: prep.EmpiricalTransformer().fit(y).ecdf(y)), Y + [f"e AS (SELECT {S4}, cume_dist() OVER (PARTITION BY {_SER} ORDER BY value) AS p FROM y WHERE value IS NOT NULL)"], f"SELECT {S4}, round(CASE WHEN p IS NOT NULL THEN least(0.9999, greatest(0.0001, p)) END, 6) + 0e0 AS value FROM y LEFT JOIN e USING ({S4})")
-add("gamma_transform", y_(lambda y: prep.GammaTransformer().fit(y).transform(y)))
-add("gamma_inverse", y_(lambda y: (lambda g: g.inverse_transform(g.transform(y)))(prep.GammaTransformer().fit(y))))
-add("empirical_transform", y_(lambda y: prep.EmpiricalTransformer().fit(y).transform(y)))
-add("empirical_inverse", y_(lambda y: (lambda e: e.inverse_transform(e.transform(y)))(prep.EmpiricalTransformer().fit(y))))
-add("normal_scores", y_(prep.normal_scores))
-add("normal_cdf", x_(lambda x: prep.cdf(prep.Normal().fit(x).transform(x))))
+_GAM = [f"gs AS (SELECT {_SER}, avg(value) AS m, avg(ln(value)) AS l, var_pop(value) AS v FROM y WHERE value > 2.220446049250313e-16 GROUP BY ALL)", "ga AS (SELECT *, 4 * (ln(m) - l) AS a FROM gs)", f"gp AS (SELECT {_SER}, CASE WHEN a > 1.4901161193847656e-8 THEN (1 + sqrt(1 + a / 3)) / a WHEN v > 0 THEN m * m / v END AS alpha, m FROM ga)", f"gc AS (SELECT {S4}, value, alpha, m / alpha AS beta FROM y LEFT JOIN gp USING ({_SER}))", f"gd AS (SELECT *, least(0.9999, greatest(0.0001, {sql.gamma_cdf('value', 'alpha', 'beta')})) AS p FROM gc)"]
+add("gamma_transform", y_(lambda y: prep.GammaTransformer().fit(y).transform(y)), Y + _GAM, f"SELECT {S4}, round({sql.norm_ppf('p')}, 6) + 0e0 AS value FROM gd")
+add("gamma_inverse", y_(lambda y: (lambda g: g.inverse_transform(g.transform(y).withColumn("value", F.col("value") + 0.1)))(prep.GammaTransformer().fit(y))), Y + _GAM + [f"ge AS (SELECT *, {sql.norm_ppf('p')} + 0.1e0 AS z FROM gd)", f"gf AS (SELECT *, least(0.9999, greatest(0.0001, {sql.norm_cdf('z')})) AS r FROM ge)"], f"SELECT {S4}, round(CASE WHEN r IS NOT NULL THEN {sql.gamma_ppf('r', 'alpha', 'beta')} END, 3) + 0e0 AS value FROM gf", digits=3)
+_ECD = [f"e0 AS (SELECT {S4}, value AS v, cume_dist() OVER (PARTITION BY {_SER} ORDER BY value) AS e FROM y WHERE value IS NOT NULL)", f"e1 AS (SELECT {S4}, v, e, least(0.9999, greatest(0.0001, e)) AS p FROM y LEFT JOIN e0 USING ({S4}))"]
+add("empirical_transform", y_(lambda y: prep.EmpiricalTransformer().fit(y).transform(y)), Y + _ECD, f"SELECT {S4}, round({sql.norm_ppf('p')}, 6) + 0e0 AS value FROM e1")
+add("empirical_inverse", y_(lambda y: (lambda e: e.inverse_transform(e.transform(y).withColumn("value", F.col("value") + 0.1)))(prep.EmpiricalTransformer().fit(y))), Y + _ECD[:1] + [f"e1z AS (SELECT {S4}, {sql.norm_ppf('p')} + 0.1e0 AS z FROM ({_ECD[1].split(' AS (', 1)[1]})", f"e1 AS (SELECT {S4}, {sql.norm_cdf('z')} AS p FROM e1z)", f"ek AS (SELECT DISTINCT {_SER}, v, e FROM e0)", f"el AS (SELECT *, lag(v) OVER w AS v0, lag(e) OVER w AS e0, row_number() OVER w AS j, count(*) OVER (PARTITION BY {_SER}) AS n FROM ek WINDOW w AS (PARTITION BY {_SER} ORDER BY v))", f"em2 AS (SELECT e1.{S4.replace(', ', ', e1.')}, p, arg_min(struct_pack(v0 := el.v0, v := el.v, e0 := el.e0, e := el.e), CASE WHEN el.e >= p THEN el.j ELSE 1000 - el.j END) AS k, max(n) AS n, max(el.v) AS sole FROM e1 LEFT JOIN el ON e1.lat = el.lat AND e1.lon = el.lon AND e1.feature = el.feature AND (el.j > 1 OR el.n = 1) GROUP BY ALL)"], f"SELECT {S4}, round(CASE WHEN p IS NULL THEN NULL WHEN n = 1 THEN sole ELSE k.v0 + (p - k.e0) / (k.e - k.e0) * (k.v - k.v0) END, 3) + 0e0 AS value FROM em2", digits=3)
+add("normal_scores", y_(prep.normal_scores), Y + ["ns AS (SELECT * FROM y WHERE sample NOT IN (SELECT sample FROM y WHERE value IS NULL))", f"nr AS (SELECT *, {_RANK} / count(value) OVER (PARTITION BY {_SER}) AS p FROM ns)", f"nq AS (SELECT {S4}, {_PCT} AS q FROM nr)"], f"SELECT {S4}, round({sql.norm_ppf('q')}, 6) + 0e0 AS value FROM nq")
+add("normal_cdf", x_(lambda x: prep.cdf(prep.Normal().fit(x).transform(x))), X + [f"nz AS (SELECT {S4}, (value - avg(value) OVER w) / CASE WHEN stddev_pop(value) OVER w = 0 THEN 1 ELSE stddev_pop(value) OVER w END AS z FROM x WINDOW w AS (PARTITION BY {_SER}))"], f"SELECT {S4}, round(CASE WHEN z IS NOT NULL THEN {sql.norm_cdf('z')} END, 6) + 0e0 AS value FROM nz")
 _RO = dict(lead_low=45, lead_high=45, base_year=1994, n_years=8)
 _DAYS = ["md AS (SELECT DISTINCT strftime(sample, '%m-%d') AS md FROM ym)", "dy AS (SELECT md, coalesce(try_cast('1994-' || md AS DATE), DATE '1994-02-28') AS b, unnest(range(0, 8)) AS j FROM md)", f"pool AS (SELECT {_SER}, md, value FROM ym JOIN dy ON ym.sample BETWEEN b + CAST(365 * (j + 1) - 45 AS INT) AND b + CAST(365 * (j + 1) + 45 AS INT))"]
 add("rolling_minmax", ym_(lambda y: rolling.RollingMinMax(**_RO).fit(y).transform(y)), YM + _DAYS + [f"f AS (SELECT {_SER}, md, min(value) AS lo, max(value) AS hi FROM pool GROUP BY ALL)"], f"SELECT ym.lat, ym.lon, sample, ym.feature, round(CASE WHEN hi <> lo THEN (value - lo) / (hi - lo) * 2 - 1 END, 6) + 0e0 AS value FROM ym LEFT JOIN f ON ym.lat = f.lat AND ym.lon = f.lon AND ym.feature = f.feature AND f.md = strftime(sample, '%m-%d')")
@@ -351,32 +354,78 @@ def _fitted(kind: str, apply: Callable = models.predict_proba, **params) -> Call
     return xy_(lambda x, y: apply(models.fit(prep.fill_spatial_mean(x), y, kind, **params), prep.fill_spatial_mean(x)))
 
 
-add("mlr_multi", _fitted("mlr", models.predict_linear))
-add("mlr_multi_proba", _fitted("mlr"))
+_XF = [f"xf AS (SELECT {S4}, coalesce(value, avg(value) OVER (PARTITION BY sample, feature)) AS value FROM x)"]
+_F5 = [f"f{k}" for k in range(1, 6)]
+_WD = ["wd0 AS (SELECT lat, lon, sample, " + ", ".join(f"max(value) FILTER (feature[1] = '{k}') AS f{k}" for k in range(1, 6)) + " FROM xf GROUP BY ALL)", "wd1 AS (SELECT w.*, y.value AS y FROM wd0 w JOIN y USING (lat, lon, sample))", "wd AS (SELECT *, CAST(row_number() OVER c - 1 AS INT) AS i, CAST(count(*) OVER (PARTITION BY lat, lon) AS INT) AS n FROM wd1 WHERE (lat, lon) NOT IN (SELECT (lat, lon) FROM wd1 WHERE y IS NULL) WINDOW c AS (PARTITION BY lat, lon ORDER BY sample))"]
+_XYF, _KEEP = XY + _XF + _WD, "lat, lon, sample, i, n, y"
+
+
+def everywhere(value: str, table: str, features: list[str] | None = None, digits: int = 6) -> str:
+    """Values of the table's cells, NULL for cells that have no model, as models' forecasts have them."""
+    names = f" CROSS JOIN (SELECT unnest({features}) AS feature)" if features else ""
+    key = "lat, lon, sample" + (", feature" if features else "")
+    return f"SELECT {key}{'' if features else ', ' + chr(39) + '0' + chr(39) + ' AS feature'}, round({value}, {digits}) + 0e0 AS value FROM (SELECT DISTINCT lat, lon, sample FROM xf){names} LEFT JOIN {table} USING ({key})"
+
+
+def terciles_long(table: str) -> str:
+    return f"(SELECT lat, lon, sample, unnest(['BN', 'NN', 'AN']) AS feature, unnest([bn, 1 - bn - an, an]) AS v FROM {table})"
+
+
+_MM = sql.least_squares("mm", "wd", "lat, lon", _F5, "y", train="i < n - n // 5", keep=_KEEP)
+add("mlr_multi", _fitted("mlr", models.predict_linear), _XYF + _MM, everywhere("fit", "mm"))
+_FOLD = "CASE WHEN i < (n % 5) * (n // 5 + 1) THEN i // (n // 5 + 1) ELSE n % 5 + (i - (n % 5) * (n // 5 + 1)) // greatest(n // 5, 1) END"
+_ME = [f"wk AS (SELECT wd.*, {_FOLD} AS fold, l FROM wd CROSS JOIN (SELECT unnest(range(0, 5)) AS l))"] + sql.least_squares("mk", "wk", "lat, lon, l", _F5, "y", train="fold <> l", keep="lat, lon, sample, i, n, y, fold, l") + ["mv AS (SELECT lat, lon, max(n) - 7 AS dof, sum(pow(fit - y, 2)) FILTER (WHERE fold = l) / (max(n) - 7) AS ev FROM mk GROUP BY ALL)", f"mq AS (SELECT lat, lon, quantile_cont(y, {lit(1 / 3)}) AS lo, quantile_cont(y, {lit(2 / 3)}) AS hi FROM wd GROUP BY ALL)"]
+_MT = _MM + _ME + ["mt AS (SELECT lat, lon, sample, (lo - fit) / sqrt(ev) AS tl, (hi - fit) / sqrt(ev) AS th, CAST(dof AS INT) AS dof FROM mm JOIN mv USING (lat, lon) JOIN mq USING (lat, lon))", f"mp AS (SELECT lat, lon, sample, {t_sql('tl', 'dof')} AS bn, 1 - {t_sql('th', 'dof')} AS an FROM mt)"]
+add("mlr_multi_proba", _fitted("mlr"), _XYF + _MT, everywhere("v", terciles_long("mp"), ["BN", "NN", "AN"]))
 add("elm_predict", _fitted("elm", models.predict))
 add("elm_proba", _fitted("elm"))
 add("epoelm_predict", _fitted("epoelm", models.predict))
 add("epoelm_proba", _fitted("epoelm"))
-add("elr_proba", _fitted("elr"))
-add("melr_proba", _fitted("melr"))
+_LIM = ["lm1 AS (SELECT lat, lon, list_sort(list(y)) AS s, avg(y) AS ym, greatest(stddev_pop(y), 2.220446049250313e-16) AS ys FROM wd GROUP BY ALL)", f"lm2 AS (SELECT lat, lon, ym, ys, unnest([{mid('s', 0.33)}, {mid('s', 0.67)}, {mid('s', 1 / 3)}, {mid('s', 2 / 3)}]) AS q, unnest([1, 2, 3, 4]) AS c FROM lm1)", "mr AS (SELECT lat, lon, sample, f1, f2, f3, f4, f5, (q - ym) / ys AS q, c, CASE WHEN wd.y < lm2.q THEN 0.999e0 ELSE 0.001e0 END AS y FROM wd JOIN lm2 USING (lat, lon))"]
+_MELR = _LIM + sql.reweighted("me", "mr", "lat, lon", [*_F5, "q"], "binomial", train="c < 3", keep="lat, lon, sample, c, y", rounds=14) + ["mp AS (SELECT lat, lon, sample, max(1 / (1 + exp(-eta))) FILTER (c = 3) AS bn, 1 - max(1 / (1 + exp(-eta))) FILTER (c = 4) AS an FROM me GROUP BY ALL)"]
+add("melr_proba", _fitted("melr"), _XYF + _MELR, everywhere("v", terciles_long("mp"), ["BN", "NN", "AN"]))
+_ELR = _LIM + ["er AS (SELECT lat, lon, sample, q, c, y, unnest([1, 2, 3, 4, 5]) AS f, unnest([f1, f2, f3, f4, f5]) AS v FROM mr)"] + sql.reweighted("ee", "er", "lat, lon, f", ["v", "q"], "binomial", train="c < 3", keep="lat, lon, f, sample, c, y", rounds=14) + ["mp AS (SELECT lat, lon, sample, avg(1 / (1 + exp(-eta))) FILTER (c = 3) AS bn, 1 - avg(1 / (1 + exp(-eta))) FILTER (c = 4) AS an FROM ee GROUP BY ALL)"]
+add("elr_proba", _fitted("elr"), _XYF + _ELR, everywhere("v", terciles_long("mp"), ["BN", "NN", "AN"]))
 add("qrf_quantile", _fitted("qrf", lambda m, x: models.predict(m, x, quantile=0.5), n_estimators=20))
 add("qrf_proba", _fitted("qrf", n_estimators=20))
 add("rf_regressor", _fitted("rf_regressor", models.predict, n_estimators=5))
 add("rf_classifier", _fitted("rf_classifier", n_estimators=10))
-add("naive_bayes", _fitted("naive_bayes"))
-add("poisson_regression", _fitted("poisson", models.predict))
-add("gamma_regression", _fitted("gamma", models.predict))
+_NB = [f"nl AS (SELECT lat, lon, quantile_cont(y, {lit(1 / 3)}) AS lo, quantile_cont(y, {lit(2 / 3)}) AS hi FROM wd GROUP BY ALL)", "nc AS (SELECT wd.*, CASE WHEN y < lo THEN 0 WHEN y > hi THEN 2 ELSE 1 END AS c FROM wd JOIN nl USING (lat, lon))", "nf AS (SELECT lat, lon, c, count(*) AS m, " + ", ".join(f"sum(f{k}) + 1 AS s{k}" for k in range(1, 6)) + " FROM nc GROUP BY ALL)", "ne AS (SELECT wd.lat, wd.lon, sample, c, ln(m / sum(m) OVER (PARTITION BY wd.lat, wd.lon, sample)) + " + " + ".join(f"f{k} * ln(s{k} / (s1 + s2 + s3 + s4 + s5))" for k in range(1, 6)) + " AS a FROM wd JOIN nf USING (lat, lon))", "nx AS (SELECT lat, lon, sample, c, exp(a - max(a) OVER w) / sum(exp(a - ma)) OVER w AS v FROM (SELECT *, max(a) OVER (PARTITION BY lat, lon, sample) AS ma FROM ne) WINDOW w AS (PARTITION BY lat, lon, sample))", "np AS (SELECT lat, lon, sample, ['BN', 'NN', 'AN'][c + 1] AS feature, v FROM nx)"]
+add("naive_bayes", _fitted("naive_bayes"), _XYF + _NB, everywhere("v", "np", ["BN", "NN", "AN"]))
+for _name, _family in (("poisson_regression", "poisson"), ("gamma_regression", "gamma")):
+    add(_name, _fitted(_family, models.predict), _XYF + sql.reweighted("gl", "wd", "lat, lon", _F5, _family, keep="lat, lon, sample, y", rounds=12), everywhere("exp(eta)", "gl", digits=3), digits=3)
 add("nan_regression", _fitted("nan_regression", models.predict), X, "SELECT DISTINCT lat, lon, sample, '0' AS feature, CAST(NULL AS DOUBLE) AS value FROM x")
 add("nan_classifier", _fitted("nan_classifier"), X, "SELECT DISTINCT lat, lon, sample, f AS feature, CAST(NULL AS DOUBLE) AS value FROM x CROSS JOIN (SELECT unnest(['BN', 'NN', 'AN']) AS f)")
 add("tune_params", lambda s, d: models.tune(prep.fill_spatial_mean(model_cube(s, d)), observed_cube(s, d), "elm", {"hidden": [2, 5], "regularization": [-10, -5, 0], "activation": ["relu", "tanh"]}, generations=3).select("lat", "lon", "goodness", F.array_join(F.array_sort(F.transform(F.map_entries("params"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",").alias("params")))
-add("eof_loadings", x_(lambda x: field.EOF(3).fit(prep.fill_spatial_mean(x)).loadings))
-add("eof_scores", x_(lambda x: field.EOF(3).fit(prep.fill_spatial_mean(x)).scores))
-add("eof_variance", x_(lambda x: field.EOF(3).fit(prep.fill_spatial_mean(x)).variance))
-add("eof_inverse", x_(lambda x: (lambda e: e.inverse_transform(e.scores))(field.EOF(3).fit(prep.fill_spatial_mean(x)))))
-add("pcr_predict", xy_(lambda x, y: field.PCR(2).fit(prep.fill_spatial_mean(x), y).predict(prep.fill_spatial_mean(x))))
-add("pcr_proba", xy_(lambda x, y: field.PCR(2).fit(prep.fill_spatial_mean(x), y).predict_proba(prep.fill_spatial_mean(x))))
-add("cca_predict", xy_(lambda x, y: field.CCA(search_override=(3, 3, 2)).fit(prep.fill_spatial_mean(x), y).predict()))
-add("cca_proba", xy_(lambda x, y: field.CCA(search_override=(3, 3, 2)).fit(prep.fill_spatial_mean(x), y).predict_proba()))
+_EZ = [f"ez AS MATERIALIZED (SELECT {S4}, (value - avg(value) OVER w) / stddev_pop(value) OVER w AS z0, sqrt(cos(radians(lat))) AS wt, avg(value) OVER w AS mu, stddev_pop(value) OVER w AS sd, CAST(dense_rank() OVER (ORDER BY sample) AS INT) AS i FROM xf WINDOW w AS (PARTITION BY {_SER}))", "eg AS MATERIALIZED (SELECT a.feature, a.i, b.i AS j, sum(a.z0 * a.wt * b.z0 * b.wt) AS x FROM ez a JOIN ez b USING (lat, lon, feature) GROUP BY ALL)"]
+_EOF = XY + _XF + _EZ + sql.eigenvectors("ev", "eg", "feature", 3) + [f"el AS MATERIALIZED (SELECT lat, lon, feature, mode, sum(z0 * wt * u / sqrt(ew)) * any_value(wt) AS value FROM ez JOIN ev USING (feature, i) GROUP BY ALL)", "es AS (SELECT feature, mode, CASE WHEN abs(max(value)) < abs(min(value)) THEN -1 ELSE 1 END AS sg FROM el GROUP BY ALL)", "eo AS MATERIALIZED (SELECT lat, lon, feature, mode, value * sg AS value FROM el JOIN es USING (feature, mode))", "sc AS MATERIALIZED (SELECT feature, sample, mode, sum(z0 * wt * eo.value) AS value FROM ez JOIN eo USING (lat, lon, feature) GROUP BY ALL)"]
+
+
+def _eof(f: Callable, modes: int = 3) -> Query:
+    return x_(lambda x: f(field.EOF(modes).fit(prep.fill_spatial_mean(x))))
+
+
+add("eof_loadings", _eof(lambda e: e.loadings), _EOF, f"SELECT {_SER}, mode, {r('value')} FROM eo")
+add("eof_scores", _eof(lambda e: e.scores), _EOF, f"SELECT feature, sample, mode, {r('value')} FROM sc")
+add("eof_variance", _eof(lambda e: e.variance), XY + _XF + _EZ + sql.eigenvectors("ev", "eg", "feature", 3) + sql.root_trace("rt", "eg", "feature"), "SELECT DISTINCT feature, mode, round(sqrt(ew) / total, 6) + 0e0 AS value FROM ev JOIN rt USING (feature)")
+add("eof_inverse", _eof(lambda e: e.inverse_transform(e.scores)), _EOF, f"SELECT {S4}, round(sum(eo.value * sc.value) / any_value(wt * wt) * any_value(sd) + any_value(mu), 3) + 0e0 AS value FROM ez JOIN eo USING (lat, lon, feature) JOIN sc USING (feature, mode, sample) GROUP BY ALL", digits=3)
+_P10 = [f"g{k}{m}" for k in range(1, 6) for m in range(2)]
+_PCR = _EOF + _WD + ["sw AS (SELECT sample, " + ", ".join(f"max(value) FILTER (feature[1] = '{g[1]}' AND mode = {g[2]}) AS {g}" for g in _P10) + " FROM sc GROUP BY ALL)", "pw0 AS (SELECT wd.lat, wd.lon, wd.i, wd.n, wd.y, sw.* FROM wd JOIN sw USING (sample))"] + sql.least_squares("mm", "pw0", "lat, lon", _P10, "y", train="i < n - n // 5", keep=_KEEP)
+add("pcr_predict", xy_(lambda x, y: field.PCR(2).fit(prep.fill_spatial_mean(x), y).predict(prep.fill_spatial_mean(x))), _PCR, everywhere("fit", "mm"))
+_PCP = _PCR + [f"wk AS (SELECT pw0.*, {_FOLD} AS fold, l FROM pw0 CROSS JOIN (SELECT unnest(range(0, 5)) AS l))"] + sql.least_squares("mk", "wk", "lat, lon, l", _P10, "y", train="fold <> l", keep="lat, lon, sample, i, n, y, fold, l") + [m.replace("max(n) - 7", "max(n) - 12") for m in _MT[-4:]]
+add("pcr_proba", xy_(lambda x, y: field.PCR(2).fit(prep.fill_spatial_mean(x), y).predict_proba(prep.fill_spatial_mean(x))), _PCP, everywhere("v", terciles_long("mp"), ["BN", "NN", "AN"]))
+_CI = ["ci AS (SELECT sample, CAST(row_number() OVER (ORDER BY sample) - 1 AS INT) AS i, CAST(count(*) OVER () AS INT) AS n FROM (SELECT DISTINCT sample FROM y))", f"cf AS (SELECT sample, i, n, f, f = n // 5 OR f <> CASE WHEN i < (n % (n // 5)) * (n // (n // 5) + 1) THEN i // (n // (n // 5) + 1) ELSE n % (n // 5) + (i - (n % (n // 5)) * (n // (n // 5) + 1)) // (n // (n // 5)) END AS tr FROM ci CROSS JOIN (SELECT unnest(range(0, (SELECT max(n) // 5 + 1 FROM ci))) AS f))"]
+
+
+def _field(name: str, cube: str) -> list[str]:
+    """Standardised by the training samples of each fold; f = n // 5 stands for all samples."""
+    return [f"{name}p AS (SELECT {_SER} FROM {cube} GROUP BY ALL HAVING count(value) = count(*) AND stddev_pop(value) > 0)", f"{name}z AS MATERIALIZED (SELECT {_SER}, f, i, tr, value, mu, sd, CASE WHEN sd > 0 THEN (value - mu) / sd ELSE 0 END AS z FROM (SELECT {_SER}, f, i, tr, value, avg(value) FILTER (WHERE tr) OVER w AS mu, stddev_pop(value) FILTER (WHERE tr) OVER w AS sd FROM {cube} JOIN {name}p USING ({_SER}) JOIN cf USING (sample) WINDOW w AS (PARTITION BY {_SER}, f)))", f"{name}g AS MATERIALIZED (SELECT f, a.i, b.i AS j, sum(a.z * b.z) AS x, any_value(a.tr) AS ti, any_value(b.tr) AS tj FROM {name}z a JOIN {name}z b USING ({_SER}, f) GROUP BY ALL)", f"{name}t AS MATERIALIZED (SELECT f, i, j, x FROM {name}g WHERE ti AND tj)", *sql.eigenvectors(f"{name}e", f"{name}t", "f", 3)]
+
+
+_CCA = XY + _XF + _CI + _field("cx", "xf") + _field("cy", "y") + ["cc AS MATERIALIZED (SELECT f, a.mode AS a, b.mode AS b, sum(a.u * b.u) * sqrt(any_value(a.ew) * any_value(b.ew)) AS x FROM cxe a JOIN cye b USING (f, i) GROUP BY ALL)", "cg AS MATERIALIZED (SELECT f, p.a AS i, q.a AS j, sum(p.x * q.x) AS x FROM cc p JOIN cc q USING (f, b) GROUP BY ALL)", *sql.eigenvectors("ce", "cg", "f", 2), "cw AS MATERIALIZED (SELECT f, p.i AS a, cc.b, sum(p.u * q.u * cc.x / sqrt(p.ew)) AS w FROM ce p JOIN ce q USING (f, mode) JOIN cc ON cc.f = p.f AND cc.a = q.i GROUP BY ALL)", "cp AS MATERIALIZED (SELECT f, cxg.i, mode AS a, sum(x * u / ew) AS p FROM cxg JOIN cxe ON cxe.f = cxg.f AND cxe.i = cxg.j GROUP BY cxg.f, cxg.i, mode)".replace("SELECT f,", "SELECT cxg.f,"), f"cl AS MATERIALIZED (SELECT {_SER}, f, mode AS b, sum(u * z) AS l FROM cyz JOIN cye USING (f, i) GROUP BY ALL)", f"ch AS MATERIALIZED (SELECT {_SER}, f, i, tr, value, mu + sd * sum(p * w * l) AS v FROM cyz JOIN cp USING (f, i) JOIN cw USING (f, a) JOIN cl USING ({_SER}, f, b) GROUP BY {_SER}, f, i, tr, value, mu, sd)", "cm AS (SELECT lat, lon, sample, ch.feature, v FROM ch JOIN ci USING (i) WHERE f = n // 5)"]
+add("cca_predict", xy_(lambda x, y: field.CCA(search_override=(3, 3, 2)).fit(prep.fill_spatial_mean(x), y).predict()), _CCA, "SELECT lat, lon, sample, feature, round(v, 6) + 0e0 AS value FROM cm")
+_CPB = _CCA + [f"cv AS (SELECT lat, lon, max(n) - 3 AS dof, sum(pow(v - value, 2)) FILTER (WHERE NOT tr) / (max(n) - 3) AS ev FROM ch JOIN ci USING (i) GROUP BY ALL)", f"cq AS (SELECT lat, lon, quantile_cont(value, {lit(1 / 3)}) AS lo, quantile_cont(value, {lit(2 / 3)}) AS hi FROM y JOIN cyp USING ({_SER}) GROUP BY ALL)", "ct AS (SELECT lat, lon, sample, (lo - v) / sqrt(ev) AS tl, (hi - v) / sqrt(ev) AS th, CAST(dof AS INT) AS dof FROM cm JOIN cv USING (lat, lon) JOIN cq USING (lat, lon))", f"cb AS (SELECT lat, lon, sample, {t_sql('tl', 'dof')} AS bn, 1 - {t_sql('th', 'dof')} AS an FROM ct)"]
+add("cca_proba", xy_(lambda x, y: field.CCA(search_override=(3, 3, 2)).fit(prep.fill_spatial_mean(x), y).predict_proba()), _CPB, f"SELECT lat, lon, sample, feature, round(v, 6) + 0e0 AS value FROM {terciles_long('cb')}")
 add("cca_search", xy_(lambda x, y: field.CCA(xmodes=(1, 3), ymodes=(1, 3)).fit(prep.fill_spatial_mean(x), y).error_variance()))
 
 
