@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyquilt.operators import diagnostics, field, folds, mlr, models, prep, rolling, select, spatial, verify
+from skyquilt.functions import expr
+from skyquilt.operators import core, diagnostics, field, folds, mlr, models, prep, rolling, select, spatial, verify
 from skyquilt.operators.core import guessed, shape
 from skyquilt.operators.ensemble import ACPAC, Ensemble
 from skyquilt import sqlparts as sql
 from skyquilt.plans import hindcast
+from skyquilt.sources import parameters
 from skyquilt.sources.cubes import model_cube, observed_cube
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -386,17 +390,43 @@ _MELR = _LIM + sql.reweighted("me", "mr", "lat, lon", [*_F5, "q"], "binomial", t
 add("melr_proba", _fitted("melr"), _XYF + _MELR, everywhere("v", terciles_long("mp"), ["BN", "NN", "AN"]))
 _ELR = _LIM + ["er AS (SELECT lat, lon, sample, q, c, y, unnest([1, 2, 3, 4, 5]) AS f, unnest([f1, f2, f3, f4, f5]) AS v FROM mr)"] + sql.reweighted("ee", "er", "lat, lon, f", ["v", "q"], "binomial", train="c < 3", keep="lat, lon, f, sample, c, y", rounds=14) + ["mp AS (SELECT lat, lon, sample, avg(1 / (1 + exp(-eta))) FILTER (c = 3) AS bn, 1 - avg(1 / (1 + exp(-eta))) FILTER (c = 4) AS an FROM ee GROUP BY ALL)"]
 add("elr_proba", _fitted("elr"), _XYF + _ELR, everywhere("v", terciles_long("mp"), ["BN", "NN", "AN"]))
-add("qrf_quantile", _fitted("qrf", lambda m, x: models.predict(m, x, quantile=0.5), n_estimators=20))
-add("qrf_proba", _fitted("qrf", n_estimators=20))
-add("rf_regressor", _fitted("rf_regressor", models.predict, n_estimators=5))
-add("rf_classifier", _fitted("rf_classifier", n_estimators=10))
+add("qrf_quantile", _fitted("qrf", lambda m, x: models.predict(m, x, quantile=[0.1, 0.5, 0.9])))
+add("qrf_proba", _fitted("qrf"))
+add("qrf_nonexceedance", _fitted("qrf", lambda m, x: models.predict_proba(m, x, quantile=[0.2, 0.8])))
+add("qrf_leaves", _fitted("qrf", lambda m, x: models.transform(m, x, 5), n_estimators=5))
+add("rf_regressor", _fitted("rf_regressor", models.predict))
+add("rf_classifier", _fitted("rf_classifier"))
+add("epoelm_threshold_proba", _fitted("epoelm", lambda m, x: models.predict_proba(m, x, threshold=[30000, 40000, 50000])))
+add("epoelm_density", _fitted("epoelm", lambda m, x: models.density(m, x, [30000, 40000])))
+add("epoelm_activation", _fitted("epoelm", lambda m, x: models.activation(m, x, [40000])))
+_LEVELS = [0.2, 0.5, 0.8]
+
+
+def _at_levels(m: DataFrame, x: DataFrame) -> DataFrame:
+    return models.predict_proba(m, x, quantile=_LEVELS)
+
+
+def levels_long(table: str, column: str = "v") -> str:
+    return f"(SELECT lat, lon, sample, unnest({[str(q) for q in _LEVELS]}) AS feature, unnest([{', '.join(f'{column}{k}' for k in range(3))}]) AS v FROM {table})"
+
+
+def _levels_t(fit: str, dof: str, cells: str, keep: str) -> list[str]:
+    """Student probabilities of at most the levels' quantiles: from `fit` (of samples), `mv` (ev, dof) and values `y` of `cells`."""
+    return [f"lq AS (SELECT lat, lon, {', '.join(f'quantile_cont({keep}, {lit(q)}) AS m{k}' for k, q in enumerate(_LEVELS))} FROM {cells} GROUP BY ALL)", f"lt AS (SELECT lat, lon, sample, {', '.join(f'(m{k} - fit) / sqrt(ev) AS t{k}' for k in range(3))}, CAST(dof AS INT) AS dof FROM {fit} JOIN {dof} USING (lat, lon) JOIN lq USING (lat, lon))", f"lp AS (SELECT lat, lon, sample, {', '.join(f'{t_sql(f"t{k}", "dof")} AS v{k}' for k in range(3))} FROM lt)"]
+
+
+add("mlr_quantile_proba", _fitted("mlr", _at_levels), _XYF + _MM + _ME + _levels_t("mm", "mv", "wd", "y"), everywhere("v", levels_long("lp"), [str(q) for q in _LEVELS]))
+_LIQ = [_LIM[0], f"lm2 AS (SELECT lat, lon, ym, ys, unnest([{', '.join(mid('s', q) for q in (0.33, 0.67, *_LEVELS))}]) AS q, unnest([1, 2, 3, 4, 5]) AS c FROM lm1)", _LIM[2]]
+_LEV = ", ".join(f"avg(1 / (1 + exp(-eta))) FILTER (c = {k + 3}) AS v{k}" for k in range(3))
+add("melr_quantile_proba", _fitted("melr", _at_levels), _XYF + _LIQ + sql.reweighted("me", "mr", "lat, lon", [*_F5, "q"], "binomial", train="c < 3", keep="lat, lon, sample, c, y", rounds=14) + [f"lp AS (SELECT lat, lon, sample, {_LEV} FROM me GROUP BY ALL)"], everywhere("v", levels_long("lp"), [str(q) for q in _LEVELS], digits=5), digits=5)
+add("elr_quantile_proba", _fitted("elr", _at_levels), _XYF + _LIQ + [_ELR[3]] + sql.reweighted("ee", "er", "lat, lon, f", ["v", "q"], "binomial", train="c < 3", keep="lat, lon, f, sample, c, y", rounds=14) + [f"lp AS (SELECT lat, lon, sample, {_LEV} FROM ee GROUP BY ALL)"], everywhere("v", levels_long("lp"), [str(q) for q in _LEVELS], digits=5), digits=5)
 _NB = [f"nl AS (SELECT lat, lon, quantile_cont(y, {lit(1 / 3)}) AS lo, quantile_cont(y, {lit(2 / 3)}) AS hi FROM wd GROUP BY ALL)", "nc AS (SELECT wd.*, CASE WHEN y < lo THEN 0 WHEN y > hi THEN 2 ELSE 1 END AS c FROM wd JOIN nl USING (lat, lon))", "nf AS (SELECT lat, lon, c, count(*) AS m, " + ", ".join(f"sum(f{k}) + 1 AS s{k}" for k in range(1, 6)) + " FROM nc GROUP BY ALL)", "ne AS (SELECT wd.lat, wd.lon, sample, c, ln(m / sum(m) OVER (PARTITION BY wd.lat, wd.lon, sample)) + " + " + ".join(f"f{k} * ln(s{k} / (s1 + s2 + s3 + s4 + s5))" for k in range(1, 6)) + " AS a FROM wd JOIN nf USING (lat, lon))", "nx AS (SELECT lat, lon, sample, c, exp(a - max(a) OVER w) / sum(exp(a - ma)) OVER w AS v FROM (SELECT *, max(a) OVER (PARTITION BY lat, lon, sample) AS ma FROM ne) WINDOW w AS (PARTITION BY lat, lon, sample))", "np AS (SELECT lat, lon, sample, ['BN', 'NN', 'AN'][c + 1] AS feature, v FROM nx)"]
 add("naive_bayes", _fitted("naive_bayes"), _XYF + _NB, everywhere("v", "np", ["BN", "NN", "AN"]))
 for _name, _family in (("poisson_regression", "poisson"), ("gamma_regression", "gamma")):
     add(_name, _fitted(_family, models.predict), _XYF + sql.reweighted("gl", "wd", "lat, lon", _F5, _family, keep="lat, lon, sample, y", rounds=12), everywhere("exp(eta)", "gl", digits=3), digits=3)
 add("nan_regression", _fitted("nan_regression", models.predict), X, "SELECT DISTINCT lat, lon, sample, '0' AS feature, CAST(NULL AS DOUBLE) AS value FROM x")
 add("nan_classifier", _fitted("nan_classifier"), X, "SELECT DISTINCT lat, lon, sample, f AS feature, CAST(NULL AS DOUBLE) AS value FROM x CROSS JOIN (SELECT unnest(['BN', 'NN', 'AN']) AS f)")
-add("tune_params", lambda s, d: models.tune(prep.fill_spatial_mean(model_cube(s, d)), observed_cube(s, d), "elm", {"hidden": [2, 5], "regularization": [-10, -5, 0], "activation": ["relu", "tanh"]}, generations=3).select("lat", "lon", "goodness", F.array_join(F.array_sort(F.transform(F.map_entries("params"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",").alias("params")))
+add("tune_params", lambda s, d: models.tune(prep.fill_spatial_mean(model_cube(s, d)), observed_cube(s, d), "elm", {"hidden": [2, 5], "regularization": [-10, -5, 0], "activation": ["relu", "tanh"]}).select("lat", "lon", "goodness", F.array_join(F.array_sort(F.transform(F.map_entries("params"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",").alias("params")))
 _EZ = [f"ez AS MATERIALIZED (SELECT {S4}, (value - avg(value) OVER w) / stddev_pop(value) OVER w AS z0, sqrt(cos(radians(lat))) AS wt, avg(value) OVER w AS mu, stddev_pop(value) OVER w AS sd, CAST(dense_rank() OVER (ORDER BY sample) AS INT) AS i FROM xf WINDOW w AS (PARTITION BY {_SER}))", "eg AS MATERIALIZED (SELECT a.feature, a.i, b.i AS j, sum(a.z0 * a.wt * b.z0 * b.wt) AS x FROM ez a JOIN ez b USING (lat, lon, feature) GROUP BY ALL)"]
 _EOF = XY + _XF + _EZ + sql.eigenvectors("ev", "eg", "feature", 3) + [f"el AS MATERIALIZED (SELECT lat, lon, feature, mode, sum(z0 * wt * u / sqrt(ew)) * any_value(wt) AS value FROM ez JOIN ev USING (feature, i) GROUP BY ALL)", "es AS (SELECT feature, mode, CASE WHEN abs(max(value)) < abs(min(value)) THEN -1 ELSE 1 END AS sg FROM el GROUP BY ALL)", "eo AS MATERIALIZED (SELECT lat, lon, feature, mode, value * sg AS value FROM el JOIN es USING (feature, mode))", "sc AS MATERIALIZED (SELECT feature, sample, mode, sum(z0 * wt * eo.value) AS value FROM ez JOIN eo USING (lat, lon, feature) GROUP BY ALL)"]
 
@@ -426,7 +456,43 @@ _CCA = XY + _XF + _CI + _field("cx", "xf") + _field("cy", "y") + ["cc AS MATERIA
 add("cca_predict", xy_(lambda x, y: field.CCA(search_override=(3, 3, 2)).fit(prep.fill_spatial_mean(x), y).predict()), _CCA, "SELECT lat, lon, sample, feature, round(v, 6) + 0e0 AS value FROM cm")
 _CPB = _CCA + [f"cv AS (SELECT lat, lon, max(n) - 3 AS dof, sum(pow(v - value, 2)) FILTER (WHERE NOT tr) / (max(n) - 3) AS ev FROM ch JOIN ci USING (i) GROUP BY ALL)", f"cq AS (SELECT lat, lon, quantile_cont(value, {lit(1 / 3)}) AS lo, quantile_cont(value, {lit(2 / 3)}) AS hi FROM y JOIN cyp USING ({_SER}) GROUP BY ALL)", "ct AS (SELECT lat, lon, sample, (lo - v) / sqrt(ev) AS tl, (hi - v) / sqrt(ev) AS th, CAST(dof AS INT) AS dof FROM cm JOIN cv USING (lat, lon) JOIN cq USING (lat, lon))", f"cb AS (SELECT lat, lon, sample, {t_sql('tl', 'dof')} AS bn, 1 - {t_sql('th', 'dof')} AS an FROM ct)"]
 add("cca_proba", xy_(lambda x, y: field.CCA(search_override=(3, 3, 2)).fit(prep.fill_spatial_mean(x), y).predict_proba()), _CPB, f"SELECT lat, lon, sample, feature, round(v, 6) + 0e0 AS value FROM {terciles_long('cb')}")
-add("cca_search", xy_(lambda x, y: field.CCA(xmodes=(1, 3), ymodes=(1, 3)).fit(prep.fill_spatial_mean(x), y).error_variance()))
+add("pcr_quantile_proba", xy_(lambda x, y: field.PCR(2).fit(prep.fill_spatial_mean(x), y).predict_proba(prep.fill_spatial_mean(x), quantile=_LEVELS)), _PCP[:-3] + _levels_t("mm", "mv", "pw0", "y"), everywhere("v", levels_long("lp"), [str(q) for q in _LEVELS]))
+add("cca_quantile_proba", xy_(lambda x, y: field.CCA(search_override=(3, 3, 2)).fit(prep.fill_spatial_mean(x), y).predict_proba(quantile=_LEVELS)), _CPB[:-3] + ["cn AS (SELECT lat, lon, sample, v AS fit FROM cm)", f"yy AS (SELECT lat, lon, value AS yv FROM y JOIN cyp USING ({_SER}))"] + _levels_t("cn", "cv", "yy", "yv"), f"SELECT lat, lon, sample, feature, round(v, 6) + 0e0 AS value FROM {levels_long('lp')}")
+add("cca_report_x_cca", xy_(lambda x, y: field.CCA(search_override=(3, 3, 2)).fit(prep.fill_spatial_mean(x), y).report()["x_cca"].select("lat", "lon", "feature", "mode", F.abs("value").alias("value"))), _CCA + ["cu AS (SELECT cxe.i, ce.mode, sum(cxe.u * ce.u) AS s FROM cxe JOIN ce ON ce.f = cxe.f AND ce.i = cxe.mode WHERE cxe.f = (SELECT max(f) FROM cf) GROUP BY ALL)"], f"SELECT {_SER}, mode, round(abs(corr(z, s)), 6) + 0e0 AS value FROM cxz JOIN cu USING (i) WHERE f = (SELECT max(f) FROM cf) GROUP BY {_SER}, mode")
+add("pcr_report_skill", xy_(lambda x, y: field.PCR(2).fit(prep.fill_spatial_mean(x), y).report()["skill"]), _PCR, "SELECT lat, lon, round(corr(fit, y), 6) + 0e0 AS value FROM mm GROUP BY ALL")
+add("cca_search", xy_(lambda x, y: field.CCA().fit(prep.fill_spatial_mean(x), y).error_variance()))
+
+# ---- helpers -------------------------------------------------------------------------------------------------
+
+_ZN = [f"nz AS (SELECT {S4}, (value - avg(value) OVER w) / CASE WHEN stddev_pop(value) OVER w = 0 THEN 1 ELSE stddev_pop(value) OVER w END AS z FROM x WINDOW w AS (PARTITION BY {_SER}))"]
+_ACT = {"sigm": "1 / (1 + exp(-z))", "tanh": "tanh(z)", "relu": "greatest(0e0, z)", "lin": "z", "softplus": "ln(1 + exp(z))", "leaky": "CASE WHEN z > 0 THEN z ELSE 0.1e0 * z END", "elu": "CASE WHEN z > 0 THEN z ELSE 0.1e0 * (exp(z) - 1) END"}
+add("activations", x_(lambda x: prep.Normal().fit(x).transform(x).where("value IS NOT NULL").select("lat", "lon", "sample", "feature", *(f(F.col("value")).alias(n) for n, f in expr.ACTIVATIONS.items()), expr.logit(expr.ACTIVATIONS["sigm"](F.col("value"))).alias("logit"))), X + _ZN, f"SELECT {S4}, {', '.join(f'round({e}, 6) + 0e0 AS {n}' for n, e in _ACT.items())}, round(z, 6) + 0e0 AS logit FROM nz WHERE z IS NOT NULL")
+
+
+def _stored_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parameters written as text lines and read again."""
+    at = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/parameters-{uuid.uuid4().hex}"
+    cells = observed_cube(spark, sf_dir).select("lat", "lon").distinct()
+    parameters.save_parameters_text(cells.select("lat", "lon", F.create_map(F.lit("hidden"), (F.abs("lat") / 5 + 1).cast("int").cast("string"), F.lit("activation"), F.when(F.col("lon") > 180, "tanh").otherwise("relu")).alias("params")), at)
+    found = parameters.load_parameters(spark, at)
+    return found.select("lat", "lon", F.col("params")["hidden"].cast("int").alias("hidden"), F.col("params")["activation"].alias("activation"))
+
+
+add("parameters_roundtrip", _stored_parameters, Y, "SELECT DISTINCT lat, lon, CAST(floor(abs(lat) / 5 + 1) AS INT) AS hidden, CASE WHEN lon > 180 THEN 'tanh' ELSE 'relu' END AS activation FROM y")
+add("lifted_metric", xy_(lambda x, y: verify.lift(lambda p, o: abs(p - o).mean())(continuous(x, y))), XY + _CP, "SELECT lat, lon, round(avg(abs(p - o)), 6) + 0e0 AS value FROM c GROUP BY ALL")
+
+
+def _aligned(x: DataFrame, y: DataFrame) -> DataFrame:
+    core.check(x)
+    core.check(y)
+    core.check_compatible(x, y)
+    a, b = core.align_blocks(x, y)
+    return a.join(b.select("block", "lat", "lon", "sample", F.col("value").alias("o")), ["block", "lat", "lon", "sample"]).groupBy("block", "lat", "lon").agg(F.avg(F.col("value") - F.col("o")).alias("value")).drop("block")
+
+
+add("checked_and_aligned", xy_(_aligned), XY, "SELECT x.lat, x.lon, round(avg(x.value - y.value), 6) + 0e0 AS value FROM x JOIN y USING (lat, lon, sample) GROUP BY ALL")
+_KP = _CP + ["k AS (SELECT a.lat, a.lon, sign(b.p - a.p) AS dx, sign(b.o - a.o) AS dy FROM c a JOIN c b ON a.lat = b.lat AND a.lon = b.lon AND a.sample < b.sample)", "ks AS (SELECT lat, lon, sum(dx * dy) AS s, count(*) AS al, sum(abs(dx)) AS ux, sum(abs(dy)) AS uy, (1 + sqrt(1 + 8 * count(*))) / 2 AS n FROM k GROUP BY ALL)", "ma AS (WITH RECURSIVE m(n, c) AS (SELECT 1, [1e0] UNION ALL SELECT n + 1, list_transform(range(0, n * (n + 1) // 2 + 1), lambda k: list_sum(c[greatest(1, k - n + 1) : k + 1])) FROM m WHERE n < 33) SELECT * FROM m)", "kp AS (SELECT lat, lon, s / sqrt(nullif(ux * uy, 0)) AS tau, 2 * list_sum(c[1 : CAST((al - abs(s)) / 2 AS BIGINT) + 1]) / list_sum(c) AS p FROM ks JOIN ma ON ma.n = CAST(ks.n AS INT) WHERE ux = al AND uy = al)"]
+add("kendall_p", xy_(lambda x, y: verify.kendall_tau(continuous(x, y), p_value=True)), XY + _KP, "SELECT lat, lon, round(tau, 6) + 0e0 AS kendall_tau, round(least(1, p), 6) + 0e0 AS kendall_p FROM kp")
 
 
 def queries() -> dict[str, Query]:

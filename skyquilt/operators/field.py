@@ -158,6 +158,7 @@ class PCR:
         return self.grid.crossJoin(F.broadcast(scores.select("sample", label.alias("feature"), "value"))).select(*CELL, "sample", "feature", "value")
 
     def fit(self, x: DataFrame, y: DataFrame, **params) -> "PCR":
+        self.x, self.y = x, y
         self.eof = EOF(self.modes, self.separate).fit(x)
         self.grid = y.select(*CELL).distinct()
         self.models = models.fit(self._predictors(self.eof.scores), y, "mlr", **params)
@@ -166,8 +167,16 @@ class PCR:
     def predict(self, x: DataFrame) -> DataFrame:
         return models.predict_linear(self.models, self._predictors(self.eof.transform(x)))
 
-    def predict_proba(self, x: DataFrame) -> DataFrame:
-        return models.predict_proba(self.models, self._predictors(self.eof.transform(x)))
+    def predict_proba(self, x: DataFrame, **options) -> DataFrame:
+        """Terciles, or at `quantile=` or `threshold=` as models.predict_proba has them."""
+        return models.predict_proba(self.models, self._predictors(self.eof.transform(x)), **options)
+
+    def report(self) -> dict[str, DataFrame]:
+        """The tables behind a report: `loadings`, `scores` and `variance` of the modes, `skill`: correlation of forecasts of the
+        training samples with y by cell."""
+        p = self.predict(self.x).select(*CELL, "sample", F.col("value").alias("p"))
+        skill = p.join(self.y.select(*CELL, "sample", F.col("value").alias("o")), [*CELL, "sample"]).groupBy(*CELL).agg(F.corr("p", "o").alias("value"))
+        return {"loadings": self.eof.loadings, "scores": self.eof.scores, "variance": self.eof.variance, "skill": skill}
 
 
 def cca_operator(gx: np.ndarray, gy: np.ndarray, train: np.ndarray, xmodes: int, ymodes: int, ccamodes: int) -> tuple[np.ndarray, int, tuple]:
@@ -239,8 +248,9 @@ class CCA:
         goodness = {r[0]: r[1] for r in ranked.groupBy("c").agg(F.corr("rp", "ro")).collect()}
         return combos[max(range(len(combos)), key=lambda c: (goodness.get(c) if goodness.get(c) is not None else -999, -c))]
 
-    def _forecast(self, matrix: np.ndarray, samples: list) -> DataFrame:
-        """`lat, lon, feature, samples, mu, err_var, lo, hi` of each point; matrix is new samples x training samples."""
+    def _forecast(self, matrix: np.ndarray, samples: list, levels: tuple[float, ...] = (1 / 3, 2 / 3)) -> DataFrame:
+        """`lat, lon, feature, samples, mu, err_var, marks` of each point: marks are its quantiles at the levels; matrix is new
+        samples x training samples."""
         cv = self._cv(self.chosen)
 
         def run(batches):
@@ -251,11 +261,11 @@ class CCA:
                     z, sd = standardised(v, train), v[:, train].std(1, keepdims=True)
                     errors += ((z[:, train] @ m.T * sd + v[:, train].mean(1, keepdims=True) - v[:, test]) ** 2).sum(1)
                 mu = standardised(v, np.arange(v.shape[1])) @ matrix.T * v.std(1, keepdims=True) + v.mean(1, keepdims=True)
-                low, high = np.quantile(v, [1 / 3, 2 / 3], axis=1)
-                yield pd.DataFrame({"lat": pdf["lat"], "lon": pdf["lon"], "feature": pdf["feature"], "mu": mu.tolist(), "err_var": errors / self_dof if self_dof > 0 else np.nan, "lo": low, "hi": high})
+                marks = np.quantile(v, levels, axis=1).T
+                yield pd.DataFrame({"lat": pdf["lat"], "lon": pdf["lon"], "feature": pdf["feature"], "mu": mu.tolist(), "err_var": errors / self_dof if self_dof > 0 else np.nan, "marks": marks.tolist()})
 
         self_dof = self.dof
-        found = self.py.select(*POINT, "v").mapInPandas(run, "lat double, lon double, feature string, mu array<double>, err_var double, lo double, hi double")
+        found = self.py.select(*POINT, "v").mapInPandas(run, "lat double, lon double, feature string, mu array<double>, err_var double, marks array<double>")
         names = self.py.sparkSession.createDataFrame([(samples,)], f"samples array<{self.kind}>")
         return found.crossJoin(F.broadcast(names))
 
@@ -273,18 +283,42 @@ class CCA:
         out = self._forecast(*self._matrix(x)).select(*POINT, F.posexplode("samples").alias("i", "sample"), "mu")
         return out.select(*POINT, "sample", F.get("mu", F.col("i")).alias("value"))
 
-    def predict_proba(self, x: DataFrame | None = None) -> DataFrame:
+    def predict_proba(self, x: DataFrame | None = None, *, quantile: float | list[float] | None = None) -> DataFrame:
+        """Terciles as features BN, NN, AN, or the probabilities of at most a point's quantiles, a feature each."""
         from skyquilt.functions.expr import t_cdf
 
-        out = self._forecast(*self._matrix(x)).select(*POINT, F.posexplode("samples").alias("i", "sample"), "mu", "err_var", "lo", "hi")
+        levels = (1 / 3, 2 / 3) if quantile is None else tuple(models._listed(quantile))
+        out = self._forecast(*self._matrix(x), levels).select(*POINT, F.posexplode("samples").alias("i", "sample"), "mu", "err_var", "marks")
         mu, scale, dof = F.get("mu", F.col("i")), F.sqrt("err_var"), F.lit(self.dof)
-        bn, an = t_cdf((F.col("lo") - mu) / scale, dof), 1 - t_cdf((F.col("hi") - mu) / scale, dof)
-        each = F.explode(F.array(*(F.struct(F.lit(n).alias("feature"), c.alias("value")) for n, c in (("BN", bn), ("NN", 1 - bn - an), ("AN", an)))))
+        p = [t_cdf((F.get("marks", F.lit(k)) - mu) / scale, dof) for k in range(len(levels))]
+        named = list(zip(map(str, levels), p)) if quantile is not None else [("BN", p[0]), ("NN", p[1] - p[0]), ("AN", 1 - p[1])]
+        each = F.explode(F.array(*(F.struct(F.lit(n).alias("feature"), c.alias("value")) for n, c in named)))
         return out.select(*CELL, "sample", each.alias("e")).select(*CELL, "sample", "e.feature", "e.value")
 
     def error_variance(self) -> DataFrame:
         return self._forecast(*self._matrix(None)).select(*POINT, F.col("err_var").alias("value"))
 
+    def report(self) -> dict[str, DataFrame]:
+        """The tables behind a report: loadings of both fields' modes and canonical variates (correlation of a point's series with
+        a score) as `x_eof`, `y_eof`, `x_cca`, `y_cca` with `lat, lon, feature, mode, value`; the scores as `<name>_scores` with
+        `sample, mode, value`; and `canonical_correlations`: `mode, value`."""
+        spark, found, out = self.py.sparkSession, self.patterns(), {}
+        for name in ("x_eof", "y_eof", "x_cca", "y_cca"):
+            scores = found[f"{name}_scores"]
+            rows = [(self.samples[i], k, float(v)) for (i, k), v in np.ndenumerate(scores)]
+            out[f"{name}_scores"] = spark.createDataFrame(rows, f"sample {self.kind}, mode int, value double")
+            unit = (scores - scores.mean(0)) / scores.std(0)
+
+            def run(batches, unit=unit):
+                for pdf in batches:
+                    z = standardised(np.stack(pdf["v"].to_list()).astype(float), np.arange(len(unit)))
+                    yield pd.DataFrame({"lat": pdf["lat"], "lon": pdf["lon"], "feature": pdf["feature"], "l": (z @ unit / len(unit)).tolist()})
+
+            loadings = (self.px if name[0] == "x" else self.py).select(*POINT, "v").mapInPandas(run, "lat double, lon double, feature string, l array<double>")
+            out[name] = loadings.select(*POINT, F.posexplode("l").alias("mode", "value"))
+        rows = [(k, float(v)) for k, v in enumerate(found["canonical_correlations"])]
+        return out | {"canonical_correlations": spark.createDataFrame(rows, "mode int, value double")}
+
     def patterns(self) -> dict[str, np.ndarray]:
         """Of the training samples: scores of both fields' modes and canonical variates, and canonical correlations."""
         full = len(self.folds)

@@ -1,7 +1,8 @@
 """Statistical models of one cell: numpy on a sample x feature matrix. Fits take a seeded generator and return arrays by name.
 
 Each kind has fit(x, y, random, **params) -> dict of arrays, predict(model, x) -> n values and, where it has probabilities,
-predict_proba(model, x) -> n x 3 (BN, NN, AN).
+predict_proba(model, x) -> n x 3 (BN, NN, AN) and nonexceed(model, x, marks) -> n x marks, the probability of at most each mark. Marks given as
+quantiles are those of the training values that the model keeps as `train`.
 """
 
 from __future__ import annotations
@@ -86,7 +87,7 @@ def mlr_fit(x, y, random, *, splits: int = 5, fit_intercept: bool = True, refit:
     if refit == "full":
         coef = np.linalg.lstsq(design, y, rcond=None)[0]
     dof = len(x) - design.shape[1] - 1
-    return {"coef": coef, "err_var": np.array([errors / dof if dof > 0 else np.nan]), "dof": np.array([dof]), "terciles": np.quantile(y, [1 / 3, 2 / 3]), "intercept": np.array([float(fit_intercept)]), "mean": design.mean(0) * 1.0, "std": design.std(0), "n": np.array([len(x)])}
+    return {"coef": coef, "err_var": np.array([errors / dof if dof > 0 else np.nan]), "dof": np.array([dof]), "terciles": np.quantile(y, [1 / 3, 2 / 3]), "intercept": np.array([float(fit_intercept)]), "mean": design.mean(0) * 1.0, "std": design.std(0), "n": np.array([len(x)]), "train": y}
 
 
 def _design(model, x):
@@ -97,15 +98,20 @@ def mlr_predict(model, x):
     return _design(model, x) @ model["coef"]
 
 
-def mlr_proba(model, x, *, adjusted: bool = False):
+def mlr_nonexceed(model, x, marks, *, adjusted: bool = False):
+    """Student t around the prediction; `adjusted` widens the variance with the distance from the training mean."""
     mu, variance = mlr_predict(model, x), np.full(len(x), model["err_var"][0])
     if adjusted:
         d, own = _design(model, x) - model["mean"], model["std"] > 0
         variance = variance * (1 + (d[:, own] ** 2 / (model["std"][own] ** 2 * model["n"][0])).sum(1))
     dof = int(model["dof"][0])
     if dof < 1:
-        return np.full((len(x), 3), np.nan)
-    low, high = (t_cdf((q - mu) / np.sqrt(variance), dof) for q in model["terciles"])
+        return np.full((len(x), len(marks)), np.nan)
+    return np.column_stack([t_cdf((q - mu) / np.sqrt(variance), dof) for q in marks])
+
+
+def mlr_proba(model, x, *, adjusted: bool = False):
+    low, high = mlr_nonexceed(model, x, model["terciles"], adjusted=adjusted).T
     return np.column_stack([low, high - low, 1 - high])
 
 
@@ -178,7 +184,7 @@ def epoelm_fit(x, y, random, *, hidden: int = 5, regularization: int | None = 0,
         ridge[-1, -1] = 0
     a = np.einsum("kni,knj->kij", rows, rows) + (0 if regularization is None else ridge * 2.0**regularization)
     model["gamma"] = solve(a, np.einsum("kni,n->ki", rows, target)[..., None])[..., 0]
-    model["terciles"] = np.quantile(own, [1 / 3, 2 / 3], method="midpoint")
+    model["terciles"], model["train"] = np.quantile(own, [1 / 3, 2 / 3], method="midpoint"), y
     model["activation"] = np.array([list(ACTIVATIONS).index(activation)])
     return model
 
@@ -204,11 +210,21 @@ def epoelm_predict(model, x, quantile: float | None = None):
     return out * std + mean if std else out
 
 
-def epoelm_proba(model, x, threshold=None):
+def epoelm_nonexceed(model, x, marks):
+    """By the valid estimators; equal shares where none is valid."""
+    mean, std, _ = model["y"]
+    found = [_exceed(model, x, (q - mean) / std if std else q) for q in marks]
+    return np.column_stack([np.full(len(x), 1 / len(marks)) if p is None else p for p in found])
+
+
+def epoelm_activation(model, x, marks):
+    """What the non-exceedances are the logistic function of, the mean of all estimators; as published, valid or not."""
     mean, std, _ = model["y"]
-    if threshold is not None:
-        p = _exceed(model, x, (threshold - mean) / std if std else threshold)
-        return np.ones((len(x), 1)) if p is None else p[:, None]
+    h = np.einsum("kin,kn->ki", _hidden(model, x, _activation(model)), model["gamma"][:, :-1])
+    return np.column_stack([(h + model["gamma"][:, -1:] * ((q - mean) / std if std else q)).mean(0) for q in marks])
+
+
+def epoelm_proba(model, x):
     low, high = (_exceed(model, x, q) for q in model["terciles"])
     if low is None:
         return np.full((len(x), 3), 0.333)
@@ -221,6 +237,8 @@ def epoelm_density(model, x, threshold: float):
     mean, std, _ = model["y"]
     q = (threshold - mean) / std if std else threshold
     valid = model["gamma"][:, -1] > 0.01
+    if not valid.any():
+        return np.full(len(x), np.nan)
     h = _hidden(model, x, _activation(model))
     s = expit(np.einsum("kin,kn->ki", h, model["gamma"][:, :-1]) + model["gamma"][:, -1:] * q)
     return (s * (1 - s) * model["gamma"][:, -1:])[valid].mean(0) / (std or 1.0)
@@ -229,7 +247,7 @@ def epoelm_density(model, x, threshold: float):
 def epoelm_crps(model, x, y, points: int = 200):
     """Continuous ranked probability score by trapezoids over the range of y widened by half its width."""
     wide = np.linspace(y.min() - np.ptp(y) / 2, y.max() + np.ptp(y) / 2, points)
-    f = np.column_stack([epoelm_proba(model, x, q)[:, 0] for q in wide])
+    f = epoelm_nonexceed(model, x, wide)
     return np.trapezoid((f - (y[:, None] <= wide)) ** 2, wide, axis=1)
 
 
@@ -268,13 +286,17 @@ def melr_fit(x, y, random, *, thresholds=(0.33, 0.67), preprocessing: str = "non
     model["center"] = np.array([y.mean(), max(y.std(), EPS)])
     rows[:, -1] = (rows[:, -1] - model["center"][0]) / model["center"][1]
     model["beta"] = irls(rows, np.concatenate([np.where(y < q, 0.999, 0.001) for q in marks]), "binomial")
-    model["terciles"] = np.quantile(y, [1 / 3, 2 / 3], method="midpoint")
+    model["terciles"], model["train"] = np.quantile(y, [1 / 3, 2 / 3], method="midpoint"), y
     return model
 
 
-def melr_proba(model, x):
+def melr_nonexceed(model, x, marks):
     own = scaled(model, x)
-    low, high = (expit(model["beta"][0] + own @ model["beta"][1:-1] + model["beta"][-1] * (q - model["center"][0]) / model["center"][1]) for q in model["terciles"])
+    return np.column_stack([expit(model["beta"][0] + own @ model["beta"][1:-1] + model["beta"][-1] * (q - model["center"][0]) / model["center"][1]) for q in marks])
+
+
+def melr_proba(model, x):
+    low, high = melr_nonexceed(model, x, model["terciles"]).T
     return np.column_stack([low, high - low, 1 - high])
 
 
@@ -284,6 +306,10 @@ def elr_fit(x, y, random, **params) -> dict:
     return {k: np.stack([p[k] for p in parts]) for k in parts[0]}
 
 
+def elr_nonexceed(model, x, marks):
+    return np.nanmean([melr_nonexceed({k: v[j] for k, v in model.items()}, x[:, [j]], marks) for j in range(x.shape[1])], axis=0)
+
+
 def elr_proba(model, x):
     return np.nanmean([melr_proba({k: v[j] for k, v in model.items()}, x[:, [j]]) for j in range(x.shape[1])], axis=0)
 
@@ -339,24 +365,39 @@ def forest_fit(x, y, random, *, n_estimators: int = 100, min_leaf: int = 1, max_
         trees.append(_tree(x[rows], y.reshape(len(y), -1)[rows], random, max_features or x.shape[1], min_leaf))
     width = max(map(len, trees))
     table = np.stack([np.vstack([t, np.tile([-1.0, 0, -1, -1], (width - len(t), 1))]) for t in trees])
-    return {"trees": table, "leaves": np.stack([_leaves(t, x) for t in trees]).astype(float), "y": y}
+    return {"trees": table, "leaves": np.stack([_leaves(t, x) for t in trees]).astype(float), "y": y, "train": y}
 
 
-def _pooled(model, x):
-    """For each row of x the training values that share its leaf, over all trees."""
-    for row in np.stack([_leaves(t, x) for t in model["trees"]]).T:
-        tree, i = np.nonzero(model["leaves"] == row[:, None])
-        yield model["y"][i]
+def _weights(model, x):
+    """For each row of x and training row the number of trees in which they share a leaf."""
+    own = np.stack([_leaves(t, x) for t in model["trees"]])
+    return (own[:, :, None] == model["leaves"][:, None, :]).sum(0)
 
 
 def qrf_predict(model, x, quantile: float = 0.5):
-    return np.array([np.quantile(v, quantile) for v in _pooled(model, x)])
+    """Linear quantiles of the training values that share a row's leaf, pooled over all trees."""
+    order = np.argsort(model["y"], kind="stable")
+    y, until = model["y"][order], np.cumsum(_weights(model, x)[:, order], axis=1)
+    at = quantile * (until[:, -1] - 1)
+    low = np.floor(at)
+    value = lambda k: y[(until <= k[:, None]).sum(1)]  # the k-th smallest pooled value, from 0
+    a, b = value(low), value(np.ceil(at))
+    return a + (b - a) * (at - low)
+
+
+def qrf_nonexceed(model, x, marks):
+    w = _weights(model, x)
+    return np.column_stack([w[:, model["y"] < q].sum(1) / w.sum(1) for q in marks])
 
 
 def qrf_proba(model, x):
-    low, high = np.quantile(model["y"], [0.33, 0.67])
-    below = np.array([[(v < low).mean(), (v < high).mean()] for v in _pooled(model, x)])
-    return np.column_stack([below[:, 0], below[:, 1] - below[:, 0], 1 - below[:, 1]])
+    low, high = qrf_nonexceed(model, x, np.quantile(model["y"], [0.33, 0.67])).T
+    return np.column_stack([low, high - low, 1 - high])
+
+
+def forest_leaves(model, x):
+    """The node in which a row ends, a column a tree."""
+    return np.column_stack([_leaves(t, x) for t in model["trees"]]).astype(float)
 
 
 def rf_predict(model, x):
@@ -412,6 +453,9 @@ class Kind:
     fit: Callable
     predict: Callable | None = None
     proba: Callable | None = None
+    nonexceed: Callable | None = None
+    transform: Callable | None = None
+    marks: str = "linear"  # the method of quantiles of training values
 
 
 def _stub(x, y, random, **params):
@@ -420,13 +464,13 @@ def _stub(x, y, random, **params):
 
 _POISSON, _GAMMA = _glm("poisson"), _glm("gamma")
 KINDS: dict[str, Kind] = {
-    "mlr": Kind(mlr_fit, mlr_predict, mlr_proba),
+    "mlr": Kind(mlr_fit, mlr_predict, mlr_proba, mlr_nonexceed),
     "elm": Kind(elm_fit, elm_predict, elm_proba),
-    "epoelm": Kind(epoelm_fit, epoelm_predict, epoelm_proba),
-    "melr": Kind(melr_fit, None, melr_proba),
-    "elr": Kind(elr_fit, None, elr_proba),
-    "qrf": Kind(forest_fit, qrf_predict, qrf_proba),
-    "rf_regressor": Kind(forest_fit, rf_predict),
+    "epoelm": Kind(epoelm_fit, epoelm_predict, epoelm_proba, epoelm_nonexceed, marks="midpoint"),
+    "melr": Kind(melr_fit, None, melr_proba, melr_nonexceed, marks="midpoint"),
+    "elr": Kind(elr_fit, None, elr_proba, elr_nonexceed, marks="midpoint"),
+    "qrf": Kind(forest_fit, qrf_predict, qrf_proba, qrf_nonexceed, forest_leaves),
+    "rf_regressor": Kind(forest_fit, rf_predict, transform=forest_leaves),
     "rf_classifier": Kind(rfc_fit, lambda m, x: rfc_proba(m, x).argmax(1).astype(float), rfc_proba),
     "naive_bayes": Kind(nb_fit, lambda m, x: nb_proba(m, x).argmax(1).astype(float), nb_proba),
     "poisson": Kind(*_POISSON),
@@ -436,6 +480,15 @@ KINDS: dict[str, Kind] = {
 }
 
 
+def register(name: str, kind: Kind) -> None:
+    """A kind of model of one's own; tasks get its functions with the plan, so they may be defined anywhere."""
+    KINDS[name] = kind
+
+
+def register_activation(name: str, function: Callable[[np.ndarray], np.ndarray]) -> None:
+    ACTIVATIONS[name] = function
+
+
 def kge(p: np.ndarray, o: np.ndarray) -> float:
     """Kling-Gupta efficiency with the ratio of variances."""
     with np.errstate(all="ignore"):
@@ -450,7 +503,7 @@ def cv_score(kind: str, x, y, params: dict, seed: int, splits: int = 5, score: C
     return score(out, y)
 
 
-def tune(kind: str, x, y, genes: dict[str, list], random, *, queue: int = 5, generations: int = 10, patience: int = 3) -> tuple[float, dict]:
+def tune(kind: str, x, y, genes: dict[str, list], random, *, queue: int = 5, generations: int = 10, patience: int = 3, score: Callable = kge) -> tuple[float, dict]:
     """Evolutionary search: a queue of the best parameter sets, children that cross two of them and mutate one gene.
 
     Higher scores are better; the search ends after `patience` generations without gain, or at once if the first score is NaN.
@@ -462,7 +515,7 @@ def tune(kind: str, x, y, genes: dict[str, list], random, *, queue: int = 5, gen
     def value(params: dict) -> float:
         key = repr(sorted(params.items()))
         if key not in seen:
-            seen[key] = cv_score(kind, x, y, params, seed)
+            seen[key] = cv_score(kind, x, y, params, seed, score=score)
         return seen[key]
 
     best = [(value(p), p) for p in (pick() for _ in range(queue))]

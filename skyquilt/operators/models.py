@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -49,6 +50,7 @@ def fit(x: DataFrame, y: DataFrame, kind: str, *, seed: int = 0, params: DataFra
     """The model table. `params` (lat, lon, params map<string,string>) overrides parameters by cell."""
     if kind not in kernels.KINDS:
         raise ValueError(f"no kind of model {kind!r}")
+    own_kind, activations = kernels.KINDS[kind], dict(kernels.ACTIVATIONS)
     gathered = cells(x, y)
     if params is not None:
         gathered = gathered.join(params.select(*CELL, "params"), list(CELL), "left")
@@ -58,6 +60,8 @@ def fit(x: DataFrame, y: DataFrame, kind: str, *, seed: int = 0, params: DataFra
     def run(batches):
         import ast
 
+        kernels.ACTIVATIONS.update(activations)
+
         def typed(text):
             try:
                 return ast.literal_eval(text)
@@ -70,7 +74,7 @@ def fit(x: DataFrame, y: DataFrame, kind: str, *, seed: int = 0, params: DataFra
                 own = fixed | {k: typed(v) for k, v in dict(row.params or {}).items()}
                 random = np.random.default_rng(seed_of(row.lat, row.lon, seed))
                 try:
-                    model = kernels.KINDS[kind].fit(np.array(row.x, float).reshape(-1, row.width), np.array(row.y, float), random, **own)
+                    model = own_kind.fit(np.array(row.x, float).reshape(-1, row.width), np.array(row.y, float), random, **own)
                     out.append((row.lat, row.lon, kind, True, _pack(model)))
                 except (ValueError, np.linalg.LinAlgError):
                     out.append((row.lat, row.lon, kind, False, {}))
@@ -82,11 +86,13 @@ def fit(x: DataFrame, y: DataFrame, kind: str, *, seed: int = 0, params: DataFra
 
 
 def _apply(models: DataFrame, x: DataFrame, function, labels: list[str]) -> DataFrame:
-    """A value per label and sample: function(kind, model, matrix) -> n x labels."""
+    """A value per label and sample: function(kind, model, matrix) -> n x labels, the kind an entry of kernels.KINDS."""
+    kinds, activations = dict(kernels.KINDS), dict(kernels.ACTIVATIONS)
     joined = cells(x).select(*CELL, "samples", "x", "width", "whole").join(models, list(CELL))
     kind = x.schema["sample"].dataType.simpleString()
 
     def run(batches):
+        kernels.ACTIVATIONS.update(activations)
         for pdf in batches:
             out = []
             for row in pdf.itertuples(index=False):
@@ -94,7 +100,7 @@ def _apply(models: DataFrame, x: DataFrame, function, labels: list[str]) -> Data
                 values = np.full((len(matrix), len(labels)), np.nan)
                 rows = ~np.isnan(matrix).any(1)
                 if row.ok and rows.any():
-                    values[rows] = np.asarray(function(row.kind, _unpack(row.p), matrix[rows])).reshape(rows.sum(), len(labels))
+                    values[rows] = np.asarray(function(kinds[row.kind], _unpack(row.p), matrix[rows])).reshape(rows.sum(), len(labels))
                 out.append((row.lat, row.lon, list(row.samples), values.ravel().tolist()))
             yield pd.DataFrame(out, columns=["lat", "lon", "samples", "v"])
 
@@ -104,13 +110,52 @@ def _apply(models: DataFrame, x: DataFrame, function, labels: list[str]) -> Data
     return rows.select(*CELL, "sample", each.alias("e")).select(*CELL, "sample", "e.feature", "e.value")
 
 
-def predict(models: DataFrame, x: DataFrame, **options) -> DataFrame:
-    """A cube with feature '0'; options such as quantile= go to the kernel."""
-    return _apply(models, x, lambda kind, m, v: kernels.KINDS[kind].predict(m, v, **options), ["0"])
+def _listed(value) -> list[float]:
+    return [float(v) for v in (value if isinstance(value, (list, tuple, np.ndarray)) else [value])]
+
+
+def predict(models: DataFrame, x: DataFrame, *, quantile: float | list[float] | None = None, **options) -> DataFrame:
+    """A cube with feature '0'; of several quantiles with a feature each, named by it. Options go to the kernel."""
+    if quantile is None or not isinstance(quantile, (list, tuple, np.ndarray)):
+        given = options if quantile is None else options | {"quantile": float(quantile)}
+        return _apply(models, x, lambda kind, m, v: kind.predict(m, v, **given), ["0"])
+    levels = _listed(quantile)
+    return _apply(models, x, lambda kind, m, v: np.column_stack([kind.predict(m, v, quantile=q, **options) for q in levels]), [str(q) for q in levels])
+
+
+def predict_proba(models: DataFrame, x: DataFrame, *, quantile: float | list[float] | None = None, threshold: float | list[float] | None = None, **options) -> DataFrame:
+    """Terciles as features BN, NN, AN; of quantiles of a cell's training values, or of thresholds, the probabilities of at
+    most these, a feature each, named by quantile or threshold."""
+    if quantile is None and threshold is None:
+        return _apply(models, x, lambda kind, m, v: kind.proba(m, v, **options), ["BN", "NN", "AN"])
+    if quantile is not None and threshold is not None:
+        raise ValueError("either quantiles or thresholds")
+    levels = _listed(threshold if quantile is None else quantile)
+    if quantile is not None and not all(0 < q < 1 for q in levels):
+        raise ValueError("quantiles lie between 0 and 1")
+
+    def run(kind, m, v):
+        if quantile is None:
+            return kind.nonexceed(m, v, levels, **options)
+        train = m["train"] if m["train"].ndim == 1 else m["train"][0]  # models of one feature each have the same values
+        return kind.nonexceed(m, v, np.quantile(train, levels, method=kind.marks), **options)
+
+    return _apply(models, x, run, [str(q) for q in levels])
+
+
+def transform(models: DataFrame, x: DataFrame, n_components: int, **options) -> DataFrame:
+    """A cube with features '0', '1', ... of what the kind's transform gives; of forests the leaf in each tree."""
+    return _apply(models, x, lambda kind, m, v: kind.transform(m, v, **options)[:, :n_components], [str(k) for k in range(n_components)])
+
+
+def activation(models: DataFrame, x: DataFrame, threshold: list[float]) -> DataFrame:
+    """Of kind epoelm: the mean activation of all estimators at thresholds, a feature each."""
+    return _apply(models, x, lambda kind, m, v: kernels.epoelm_activation(m, v, threshold), [str(float(q)) for q in threshold])
 
 
-def predict_proba(models: DataFrame, x: DataFrame, **options) -> DataFrame:
-    return _apply(models, x, lambda kind, m, v: kernels.KINDS[kind].proba(m, v, **options), ["BN", "NN", "AN"])
+def density(models: DataFrame, x: DataFrame, threshold: list[float]) -> DataFrame:
+    """Of kind epoelm: the predictand's density at thresholds, a feature each."""
+    return _apply(models, x, lambda kind, m, v: np.column_stack([kernels.epoelm_density(m, v, q) for q in threshold]), [str(float(q)) for q in threshold])
 
 
 def predict_linear(models: DataFrame, x: DataFrame) -> DataFrame:
@@ -122,16 +167,20 @@ def predict_linear(models: DataFrame, x: DataFrame) -> DataFrame:
     return wide.join(coef, list(CELL), "left").select(*CELL, "sample", F.lit("0").alias("feature"), F.when(F.col("n") == F.col("have"), value).alias("value"))
 
 
-def tune(x: DataFrame, y: DataFrame, kind: str, genes: dict[str, list], *, seed: int = 0, generations: int = 10) -> DataFrame:
-    """`lat, lon, goodness, params map<string,string>`: evolutionary search per cell, seeded by its place."""
+def tune(x: DataFrame, y: DataFrame, kind: str, genes: dict[str, list], *, seed: int = 0, generations: int = 10, score: Callable = kernels.kge) -> DataFrame:
+    """`lat, lon, goodness, params map<string,string>`: evolutionary search per cell, seeded by its place, for the highest
+    score(forecasts, values)."""
+    own_kind, activations = kernels.KINDS[kind], dict(kernels.ACTIVATIONS)
 
     def run(batches):
+        kernels.ACTIVATIONS.update(activations)
+        kernels.KINDS[kind] = own_kind
         for pdf in batches:
             out = []
             for row in pdf.itertuples(index=False):
                 random = np.random.default_rng(seed_of(row.lat, row.lon, seed))
-                score, found = kernels.tune(kind, np.array(row.x, float).reshape(-1, row.width), np.array(row.y, float), genes, random, generations=generations)
-                out.append((row.lat, row.lon, score, {k: v if isinstance(v, str) else repr(v) for k, v in found.items()}))
+                best, found = kernels.tune(kind, np.array(row.x, float).reshape(-1, row.width), np.array(row.y, float), genes, random, generations=generations, score=score)
+                out.append((row.lat, row.lon, best, {k: v if isinstance(v, str) else repr(v) for k, v in found.items()}))
             yield pd.DataFrame(out, columns=["lat", "lon", "goodness", "params"])
 
     return cells(x, y).where("whole").select("lat", "lon", "x", "width", "y").mapInPandas(run, "lat double, lon double, goodness double, params map<string,string>")

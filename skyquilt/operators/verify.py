@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyquilt.functions import distributions
 from skyquilt.functions.expr import CELL, avg_rank, two_sided_p
 
 EPS = 2.220446049250313e-16
@@ -120,14 +121,44 @@ def bic(k: int = 1) -> Column:
     return -2 * log_likelihood() + k * F.ln(_n())
 
 
-def kendall_tau(pairs: DataFrame) -> DataFrame:
-    """`lat, lon, kendall_tau`: true tau-b over all pairs of samples of a cell. (The published form sorts both series first.)"""
+def kendall_tau(pairs: DataFrame, *, p_value: bool = False) -> DataFrame:
+    """`lat, lon, kendall_tau` and on request `kendall_p`: true tau-b over all pairs of samples of a cell. (The published form sorts both series first.)
+
+    The two-sided p is exact for up to 33 samples without ties, else from the normal approximation with ties counted; means over features.
+    """
     a = pairs.where("gaps = 0").select(*CELL, "feature", F.col("sample").alias("s1"), F.col("p").alias("p1"), F.col("o").alias("o1"))
     b = pairs.select(*CELL, "feature", F.col("sample").alias("s2"), F.col("p").alias("p2"), F.col("o").alias("o2"))
     both = a.join(b, [*CELL, "feature"]).where("s1 < s2")
     x, y = F.signum(F.col("p2") - F.col("p1")), F.signum(F.col("o2") - F.col("o1"))
     tau = F.sum(x * y) / F.sqrt(F.nullif(F.sum(F.abs(x)) * F.sum(F.abs(y)), F.lit(0.0)))
-    return both.groupBy(*CELL, "feature").agg(tau.alias("t")).groupBy(*CELL).agg(F.avg("t").alias("kendall_tau"))
+    found = both.groupBy(*CELL, "feature").agg(tau.alias("t"), F.sum(x * y).alias("s"), F.sum(F.abs(x)).alias("ux"), F.sum(F.abs(y)).alias("uy"), F.count(F.lit(1)).alias("all"))
+    if not p_value:
+        return found.groupBy(*CELL).agg(F.avg("t").alias("kendall_tau"))
+    n = F.col("n")
+    for v in ("p", "o"):  # sizes of ties of each variable
+        ties = pairs.where("gaps = 0").groupBy(*CELL, "feature", v).agg(F.count(F.lit(1)).alias("m"))
+        m = F.col("m")
+        sums = [F.sum(m * (m - 1) * (2 * m + 5)).alias(f"v{v}"), F.sum(m * (m - 1)).alias(f"w{v}"), F.sum(m * (m - 1) * (m - 2)).alias(f"z{v}"), F.sum("m").alias("n")]
+        found = found.join(ties.groupBy(*CELL, "feature").agg(*sums[: 4 if v == "p" else 3]), [*CELL, "feature"])
+    pairs_of = n * (n - 1)
+    variance = (pairs_of * (2 * n + 5) - F.col("vp") - F.col("vo")) / 18 + F.col("wp") * F.col("wo") / (2 * pairs_of) + F.col("zp") * F.col("zo") / (9 * pairs_of * F.greatest(n - 2, F.lit(1)))
+    exact = pairs.sparkSession.createDataFrame(_inversions(33), "n0 long, d0 long, p0 double")  # 6,000 rows
+    d = F.least((F.col("all") - F.col("s")) / 2, (F.col("all") + F.col("s")) / 2).cast("long")
+    found = found.withColumn("d", d).join(F.broadcast(exact), (n == F.col("n0")) & (F.col("d") == F.col("d0")) & (F.col("ux") == F.col("all")) & (F.col("uy") == F.col("all")), "left")
+    normal = 2 * distributions.cdf(-F.abs(F.col("s")) / F.sqrt(variance))
+    return found.withColumn("q", F.coalesce("p0", normal)).groupBy(*CELL).agg(F.avg("t").alias("kendall_tau"), F.avg("q").alias("kendall_p"))
+
+
+def _inversions(most: int) -> list[tuple[int, int, float]]:
+    """(n, d, p): the chance that a permutation of n has at most d inversions or at least as many as that leaves, for d up to half."""
+    out, counts = [], [1]
+    for n in range(2, most + 1):
+        counts = [sum(counts[max(0, k - n + 1) : k + 1]) for k in range(n * (n - 1) // 2 + 1)]
+        total, below = sum(counts), 0
+        for d in range(len(counts) // 2 + 1):
+            below += counts[d]
+            out.append((n, d, min(1.0, 2 * below / total)))
+    return out
 
 
 # ---- probabilities -------------------------------------------------------------------------------------------

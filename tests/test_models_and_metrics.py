@@ -1,3 +1,5 @@
+import itertools
+from collections import Counter
 import json
 import math
 
@@ -129,7 +131,7 @@ def test_kernels_learn(spark):
     assert kernels.nb_proba(nb, np.abs(x)).sum(1) == pytest.approx(np.ones(200))
     assert kernels.insert_zeros(np.ones((2, 1)), [1], 3).tolist() == [[0, 1, 0]] * 2
     model = kernels.epoelm_fit(x, y, r(), encoding="binary", initialization="uniform", standardize_y=True)
-    low, high = (kernels.epoelm_proba(model, x, t)[:, 0] for t in (y.mean() - 1, y.mean() + 1))
+    low, high = kernels.epoelm_nonexceed(model, x, (y.mean() - 1, y.mean() + 1)).T
     assert (high >= low).mean() > 0.99 and (kernels.epoelm_density(model, x, y.mean()) > 0).all()
     assert (kernels.epoelm_crps(model, x[:5], y[:5]) >= 0).all()
     with pytest.raises(ValueError):
@@ -137,12 +139,63 @@ def test_kernels_learn(spark):
 
 
 def test_forest_leaves_partition_training_rows():
-    x, y = RNG.normal(size=(60, 3)), RNG.normal(size=60)
+    x, y = RNG.normal(size=(60, 3)), RNG.normal(size=60).round(1)
     model = kernels.forest_fit(x, y, np.random.default_rng(0), n_estimators=5, min_leaf=3)
     for tree, leaves in zip(model["trees"], model["leaves"]):
         assert (tree[leaves.astype(int), 0] == -1).all()
-    pooled = next(iter(kernels._pooled(model, x[:1])))
-    assert kernels.qrf_predict(model, x[:1], 0.3)[0] == pytest.approx(np.quantile(pooled, 0.3))
+    new = RNG.normal(size=(20, 3))
+    ends = kernels.forest_leaves(model, new)
+    assert ends.shape == (20, 5)
+    for i, row in enumerate(ends):
+        pooled = np.concatenate([y[model["leaves"][t] == leaf] for t, leaf in enumerate(row)])
+        for q in (0.0, 0.1, 0.3, 0.5, 0.95, 1.0):
+            assert kernels.qrf_predict(model, new, q)[i] == pytest.approx(np.quantile(pooled, q))
+        assert kernels.qrf_nonexceed(model, new, [0.0, 0.4])[i] == pytest.approx([(pooled < 0.0).mean(), (pooled < 0.4).mean()])
+
+
+def test_quantiles_thresholds_and_kinds_of_ones_own(spark):
+    x, y = cube(spark, X), cube(spark, Y)
+    forest = models.fit(x, y, "qrf", n_estimators=10)
+    several = models.predict(forest, x, quantile=[0.1, 0.9])
+    low = models.predict(forest, x, quantile=0.1).where("value is not null").collect()
+    by = {(r.lat, r.lon, r.sample): r.value for r in several.where("feature = '0.1'").collect()}
+    assert low and all(by[r.lat, r.lon, r.sample] == pytest.approx(r.value) for r in low)
+    for kind in ("mlr", "melr", "elr", "qrf", "epoelm"):
+        fitted = models.fit(x, y, kind)
+        rows = models.predict_proba(fitted, x, quantile=[0.25, 0.75]).where("value is not null").groupBy("lat", "lon", "sample").pivot("feature", ["0.25", "0.75"]).max("value").collect()
+        assert rows and all(-1e-9 <= r["0.25"] <= r["0.75"] + 1e-9 <= 1 + 1e-8 for r in rows), kind
+        assert models.predict_proba(fitted, x, threshold=1.0).select("feature").distinct().collect()[0][0] == "1.0"
+    with pytest.raises(ValueError):
+        models.predict_proba(forest, x, quantile=0.5, threshold=1.0)
+    leaves = models.transform(forest, x, 3)
+    assert {r[0] for r in leaves.select("feature").distinct().collect()} == {"0", "1", "2"}
+    kernels.register("middle", kernels.Kind(lambda x, y, random: {"m": np.array([np.median(y)])}, lambda m, x: np.full(len(x), m["m"][0])))
+    kernels.register_activation("cube", lambda a: a**3)
+    try:
+        assert models.predict(models.fit(x, y, "middle"), x).where("value is not null").count() == len(low)
+        assert models.predict(models.fit(x, y, "elm", activation="cube"), x).where("value is not null").count() == len(low)
+        found = models.tune(x, y, "elm", {"hidden": [2, 3], "activation": ["cube", "tanh"]}, generations=1, score=lambda p, o: -float(abs(p - o).mean()))
+        assert all(r.goodness <= 0 for r in found.collect())
+    finally:
+        del kernels.KINDS["middle"], kernels.ACTIVATIONS["cube"]
+
+
+def test_exact_p_of_kendall():
+    table = {(n, d): p for n, d, p in verify._inversions(8)}
+    for n in (2, 4, 6):
+        counts = Counter(sum(a > b for i, a in enumerate(q) for b in q[i + 1 :]) for q in itertools.permutations(range(n)))
+        for d in range(n * (n - 1) // 4 + 1):
+            assert table[n, d] == pytest.approx(min(1, 2 * sum(c for k, c in counts.items() if k <= d) / sum(counts.values())))
+
+
+def test_p_of_kendall_with_ties(spark):
+    """tau = 1 - 2 * 1 / 5.48 ...: by hand from scipy's formula for x = 1 2 2 3 4, y = 1 3 2 2 5."""
+    x, y = [1, 2, 2, 3, 4], [1, 3, 2, 2, 5]
+    pairs = spark.createDataFrame([(0.0, 0.0, k, "f", float(a), float(b), 0) for k, (a, b) in enumerate(zip(x, y))], "lat double, lon double, sample int, feature string, p double, o double, gaps int")
+    r = verify.kendall_tau(pairs, p_value=True).first()
+    s = sum(np.sign(x[j] - x[i]) * np.sign(y[j] - y[i]) for i in range(5) for j in range(i + 1, 5))
+    variance = (5 * 4 * 15 - 2 * 9 - 2 * 9) / 18 + 2 * 2 / (2 * 20)
+    assert r.kendall_tau == pytest.approx(s / 9) and r.kendall_p == pytest.approx(math.erfc(abs(s) / math.sqrt(variance) / math.sqrt(2)))
 
 
 def test_tuning_and_parameter_files(spark, tmp_path):
