@@ -96,6 +96,11 @@ def seats(goal: DataFrame, *, block_words: int, most: int) -> DataFrame:
     return goal.join(won.select(F.col("rank").alias("won"), "seats"), F.col("rank") == F.col("won")).drop("won")
 
 
+def _number(digest: F.Column, at: int) -> F.Column:
+    """15 of a digest's hexadecimal digits as a number."""
+    return F.conv(F.substring(digest, at, 15), 16, 10).cast("long")
+
+
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, block_words: int = 64, shard_words: int = 1 << 24, seed: int = 7) -> DataFrame:
     """`<id_col>, size, source_size, target, taken, spans, text_hash`: a row per row of `docs`.
 
@@ -110,18 +115,19 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     """
     text = col(text_col).cast("string")
     words = F.coalesce(F.regexp_count(text, F.lit(f"{WORD}+")), F.lit(0)).cast("long")
-    rows = docs.select(col(id_col).alias("id"), col(source_col).cast("string").alias("source"), words.alias("size"), F.xxhash64(text).alias("text_hash"))
-    place = F.xxhash64(F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("null")), "text_hash")
-    rows = written(rows.withColumn("place", place), "mix-rows")
+    rows = docs.select(col(id_col).alias("id"), col(source_col).cast("string").alias("source"), words.alias("size"), F.xxhash64(text).alias("text_hash"), F.coalesce(F.md5(text), F.lit("")).alias("digest"))
+    digest = F.md5(F.concat_ws("/", F.lit(str(seed)), F.coalesce(F.col("id").cast("string"), F.lit("null")), F.col("digest")))
+    rows = rows.withColumn("digest", digest).select("*", _number(F.col("digest"), 1).alias("place"), _number(F.col("digest"), 16).alias("lot")).drop("digest")
+    rows = written(rows, "mix-rows")
     goal = seats(targets(rows, weights=weights, share=share, most=most), block_words=block_words, most=most)
     one = F.greatest(F.col("blocks"), F.lit(1))
     goal = goal.withColumn("blocks", one).withColumn("times", F.expr("seats div blocks")).withColumn("more", F.expr("seats % blocks"))
-    goal = written(goal.withColumn("start", F.pmod(F.xxhash64(F.lit(seed + 2), "rank"), F.col("blocks"))), "mix-targets", partitions=1)
+    goal = written(goal.withColumn("start", F.pmod(_number(F.md5(F.concat_ws("/", F.lit(str(seed + 2)), F.col("rank").cast("string"))), 1), F.col("blocks"))), "mix-targets", partitions=1)
     shards = F.greatest(F.lit(1), F.ceil(F.col("all") / shard_words)).cast("int")
     # rows of no words count as one, so that a shard's rows are bounded as well
     shards = rows.agg(F.coalesce(F.sum(F.col("size") + 1), F.lit(0)).alias("all")).select(shards.alias("n")).first()[0]
     ranks = goal.select("rank", F.col("source").alias("g"))
-    rows = rows.join(ranks, F.col("source").eqNullSafe(F.col("g"))).drop("g").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "place"), F.lit(shards)).cast("int"))
+    rows = rows.join(ranks, F.col("source").eqNullSafe(F.col("g"))).drop("g").withColumn("shard", F.pmod("lot", F.lit(shards)).cast("int"))
     cells = rows.groupBy("shard", "rank").agg(F.sum("size").alias("cell"))
     before = F.sum("cell").over(Window.partitionBy("rank").orderBy("shard")) - F.col("cell")  # one row a shard
     cells = cells.withColumn("before", before).join(goal.drop("source", "seats"), "rank")

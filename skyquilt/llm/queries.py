@@ -104,5 +104,38 @@ FROM b
 """
 
 
+OP1_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+h AS (SELECT page_id, strlen(t)::BIGINT AS payload_bytes, sha1(t) AS x, min(page_id) OVER (PARTITION BY t) AS first FROM p)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(x, (k // 4) * 5 + 1, 5))::INT >> (15 - 5 * (k % 4))::INT) & 31) + 1)::BIGINT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first OR first IS NULL THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM h
+"""
+
+#: Seats by ranking all quotients; words of a row from its place in its source's stream, without shards' carried remainders.
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(concat('7/', coalesce(doc_id::VARCHAR, 'null'), '/', coalesce(md5(text), ''))) AS h FROM documents),
+p AS (SELECT doc_id, source, size, ('0x' || substr(h, 1, 15))::BIGINT AS place, ('0x' || substr(h, 16, 15))::BIGINT AS lot FROM d),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM p GROUP BY source),
+w AS (SELECT *, [5e0, 2e0, 1e0][(rank - 1) % 3 + 1] AS w, source_size * 2e0 AS lim, 1.5e0 * sum(source_size) OVER () AS words FROM s),
+l AS (SELECT *, lim * sum(w) OVER (ORDER BY lim / w, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) <= (words - coalesce(sum(lim) OVER (ORDER BY lim / w, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * w AS full_ FROM w),
+t AS (SELECT *, CASE WHEN full_ THEN lim ELSE (words - coalesce(sum(lim) FILTER (full_) OVER (), 0)) / sum(w) FILTER (NOT full_) OVER () * w END AS target, greatest(1, least(64, source_size // 64)) AS unit FROM l),
+b AS (SELECT *, CAST(ceil(source_size / unit) AS BIGINT) AS blocks FROM t),
+q AS (SELECT rank, unit, target / (2 * k + 1) AS quotient FROM (SELECT rank, unit, target, unnest(range(0, 2 * blocks)) AS k FROM b WHERE target > 0)),
+g AS (SELECT unit, CAST(floor(sum(target) / unit + 0.5) AS BIGINT) AS all_seats FROM b GROUP BY unit),
+r AS (SELECT rank, count(*) AS seats FROM (SELECT rank, all_seats, row_number() OVER (PARTITION BY unit ORDER BY quotient DESC, rank) AS i FROM q JOIN g USING (unit)) WHERE i <= all_seats GROUP BY rank),
+c AS (SELECT b.*, greatest(blocks, 1) AS nb, coalesce(seats, 0) AS seats FROM b LEFT JOIN r USING (rank)),
+e AS (SELECT source, rank, source_size, target, unit, nb, seats // nb AS times, seats % nb AS more, ('0x' || substr(md5(concat('9/', rank::VARCHAR)), 1, 15))::BIGINT % nb AS start FROM c),
+n AS (SELECT greatest(1, CAST(ceil(sum(size + 1) / 16777216) AS BIGINT)) AS shards FROM p),
+f AS (SELECT doc_id, size, e.*, sum(size) OVER (PARTITION BY rank ORDER BY lot % shards, place, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS z FROM p JOIN e ON p.source IS NOT DISTINCT FROM e.source CROSS JOIN n),
+k AS (SELECT *, (z - size) // unit AS k0, z // unit AS k1 FROM f)
+SELECT doc_id, size, source_size, target, (times * size + CASE WHEN size > 0 THEN
+  ((k1 * more + start) // nb) * unit + (((k1 + 1) * more + start) // nb - (k1 * more + start) // nb) * (z - k1 * unit)
+  - ((k0 * more + start) // nb) * unit - (((k0 + 1) * more + start) // nb - (k0 * more + start) // nb) * (z - size - k0 * unit) ELSE 0 END)::BIGINT AS taken
+FROM k
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality": OP4_SQL, "op8_line_dedup": OP8_SQL}
+    return {"op1_warc": OP1_SQL, "op4_quality": OP4_SQL, "op6_mixing": OP6_SQL, "op8_line_dedup": OP8_SQL}
