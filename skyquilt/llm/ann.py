@@ -106,6 +106,16 @@ def fit_centroids(sample: np.ndarray, k: int, *, rounds: int = 8, balance: float
     return centroids
 
 
+def fit_lists(sample: np.ndarray, k: int, *, seed: int = 0) -> np.ndarray:
+    """k centroids; many in two levels, a share of k for each coarse cell by its share of the sample, so that work grows as k^1.5."""
+    if k <= 2048:
+        return fit_centroids(sample, k, seed=seed)
+    coarse = fit_centroids(sample, int(k**0.5), seed=seed)
+    own = np.concatenate([squared(sample[b : b + 4096], coarse).argmin(1) for b in range(0, len(sample), 4096)])
+    parts = [sample[own == c] for c in range(len(coarse))]
+    return np.concatenate([fit_centroids(x, max(1, round(k * len(x) / len(sample))), seed=seed) for x in parts if len(x)])
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """`vec_id, v array<double>`: rows with an id whose vector isn't null, empty or zero and has finite components alone."""
     v = F.transform(col(vector_col), lambda x: x.cast("double"))
@@ -144,13 +154,59 @@ def _load(f) -> np.ndarray:
     return np.frombuffer(f.read(), np.float64).reshape(shape)
 
 
-def search(vectors: DataFrame, queries: "F.Column", *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, list_size: int = 256, max_lists: int = 4096, sample_rows: int = 20_000, copies: int = 4, replicate: float = 0.15, probes: int = 48, prune: float = 0.6, enough: int = 1024, block: int = 4096, seed: int = 0) -> DataFrame:
+def _scored(left, right, k: int):
+    """The nearest k of a block of vectors for each query of a block, in double precision."""
+    import pyarrow as pa
+
+    out = [[], [], []]
+    if left.num_rows and right.num_rows:
+        qid, vid = (np.asarray(t.column(k).combine_chunks()) for t, k in ((left, "query_id"), (right, "vec_id")))
+        q, v = (_matrix(t.column(k).combine_chunks()) for t, k in ((left, "q"), (right, "v")))
+        uv = _unit(v)
+        for begin in range(0, len(q), 256):
+            s = _unit(q[begin : begin + 256]) @ uv.T
+            s[qid[begin : begin + 256, None] == vid[None, :]] = -np.inf
+            floor = np.partition(s, max(0, s.shape[1] - k), axis=1)[:, max(0, s.shape[1] - k)]
+            row, at = np.nonzero((s >= floor[:, None] - 1e-9) & np.isfinite(s))
+            exact = cosine(q[begin + row], v[at])
+            order = np.lexsort((vid[at], -exact, row))
+            row, at, exact = row[order], at[order], exact[order]
+            start = np.concatenate([[True], row[1:] != row[:-1]]) if len(row) else np.empty(0, bool)
+            rank = np.arange(len(row)) - np.flatnonzero(start)[np.cumsum(start) - 1] if len(row) else row
+            best = rank < k
+            out[0].append(qid[begin + row[best]])
+            out[1].append(vid[at[best]])
+            out[2].append(exact[best])
+    whole = [np.concatenate(x) if x else np.empty(0, t) for x, t in zip(out, (np.int64, np.int64, np.float64))]
+    return pa.table({"query_id": whole[0], "vec_id": whole[1], "score": whole[2]})
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _exact(rows: DataFrame, queries: "F.Column", n: int, k: int, block: int) -> DataFrame:
+    """Every query against every vector: each block of queries meets each block of vectors in a task of its own."""
+    asked = rows.where(queries).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    blocks, parts = -(-n // block), max(1, -(-asked.count() // block))
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    own = lambda key, m: F.pmod(F.xxhash64(key), F.lit(m)).cast("int")
+    left = asked.select(every(blocks).alias("block"), own("query_id", parts).alias("part"), "query_id", "q")
+    right = rows.select(own("vec_id", blocks).alias("block"), every(parts).alias("part"), "vec_id", "v")
+    found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(lambda a, b: _scored(a, b, k), "query_id long, vec_id long, score double")
+    return _best(found, k)
+
+
+def search(vectors: DataFrame, queries: "F.Column", *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, list_size: int = 256, max_lists: int = 16_384, sample_rows: int = 20_000, sample_bytes: int = 64 << 20, exact: bool = False, copies: int = 4, replicate: float = 0.15, probes: int = 48, prune: float = 0.6, enough: int = 1024, block: int = 4096, seed: int = 0) -> DataFrame:
     """`query_id, rank, vec_id, score`: the nearest `k` by cosine found for each row that `queries` (over `vec_id`) marks.
 
     Rows whose vector is null, empty, zero or holds null, NaN or infinite components, or of another length than most,
     and rows without id take no part. Rows that repeat a vec_id count once, as the smallest vector. Fewer candidates than k give fewer rows; ties go to the
-    smaller vec_id. Centroids come from at most `sample_rows` rows of smallest id hash, one for `list_size` vectors, `max_lists` at
-    most: beyond that, lists grow and are cut into more blocks. Other columns are ignored.
+    smaller vec_id. Centroids come from the rows of smallest id hash, `sample_rows` of them or four a list, `sample_bytes` at most; there is one for
+    `list_size` vectors, `max_lists` at most: beyond that (4 million vectors by default) lists grow and are cut into more blocks, and
+    a query's cost grows with them. `exact` compares every query with every vector, block by block. Other columns are ignored.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col)
@@ -162,8 +218,13 @@ def search(vectors: DataFrame, queries: "F.Column", *, id_col: str = "vec_id", v
         return spark.createDataFrame([], schema)
     width, n = sizes[0]
     rows = rows.where(F.size("v") == width)
-    sample = _unit(np.array([r[0] for r in rows.orderBy(F.xxhash64(F.lit(seed), "vec_id")).limit(sample_rows).select("v").collect()]))  # bounded
-    centroids = fit_centroids(sample, max(1, min(max_lists, -(-n // list_size), -(-len(sample) // 4))), seed=seed)
+    wanted = max(1, min(max_lists, -(-n // list_size)))
+    size_of = max(1, min(max(sample_rows, 4 * wanted), sample_bytes // (8 * width)))
+    if exact:
+        return _exact(rows, queries, n, k, block)
+    drawn = rows.orderBy(F.xxhash64(F.lit(seed), "vec_id")).limit(size_of).select("v").toArrow()  # bounded
+    sample = _unit(_matrix(drawn.column(0).combine_chunks()))
+    centroids = fit_lists(sample, max(1, min(wanted, -(-len(sample) // 4))), seed=seed)
     fs, path = filesystem(graph_at := work_dir(spark, "ann-centroids"))
     parent_made(fs, path)
     with fs.open_output_stream(path, compression=None) as f:
@@ -207,32 +268,5 @@ def search(vectors: DataFrame, queries: "F.Column", *, id_col: str = "vec_id", v
     asked = asked.join(F.broadcast(blocks), "list").select("list", every("blocks").alias("block"), own("query_id", "parts").alias("part"), "query_id", "q")
     stored = lists.join(F.broadcast(blocks), "list").select("list", own("vec_id", "blocks").alias("block"), every("parts").alias("part"), "vec_id", "v")
 
-    def score(left, right):
-        import pyarrow as pa
-
-        out = [[], [], []]
-        if left.num_rows and right.num_rows:
-            qid, vid = (np.asarray(t.column(k).combine_chunks()) for t, k in ((left, "query_id"), (right, "vec_id")))
-            q, v = (_matrix(t.column(k).combine_chunks()) for t, k in ((left, "q"), (right, "v")))
-            uv = _unit(v)
-            for begin in range(0, len(q), 256):
-                s = _unit(q[begin : begin + 256]) @ uv.T
-                s[qid[begin : begin + 256, None] == vid[None, :]] = -np.inf
-                floor = np.partition(s, max(0, s.shape[1] - k), axis=1)[:, max(0, s.shape[1] - k)]
-                row, at = np.nonzero((s >= floor[:, None] - 1e-9) & np.isfinite(s))
-                exact = cosine(q[begin + row], v[at])
-                order = np.lexsort((vid[at], -exact, row))
-                row, at, exact = row[order], at[order], exact[order]
-                start = np.concatenate([[True], row[1:] != row[:-1]]) if len(row) else np.empty(0, bool)
-                rank = np.arange(len(row)) - np.flatnonzero(start)[np.cumsum(start) - 1] if len(row) else row
-                best = rank < k
-                out[0].append(qid[begin + row[best]])
-                out[1].append(vid[at[best]])
-                out[2].append(exact[best])
-        whole = [np.concatenate(x) if x else np.empty(0, t) for x, t in zip(out, (np.int64, np.int64, np.float64))]
-        return pa.table({"query_id": whole[0], "vec_id": whole[1], "score": whole[2]})
-
-    found = asked.groupBy("list", "block", "part").cogroup(stored.groupBy("list", "block", "part")).applyInArrow(score, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = asked.groupBy("list", "block", "part").cogroup(stored.groupBy("list", "block", "part")).applyInArrow(lambda left, right: _scored(left, right, k), "query_id long, vec_id long, score double")
+    return _best(found, k)

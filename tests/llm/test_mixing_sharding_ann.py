@@ -266,6 +266,21 @@ def test_odd_vectors_ties_and_hot_copies(spark):
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in few] == [(0, 1, 50, 0.0)]
 
 
+def test_exact_search_and_many_lists(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    found = rows.collect()
+    ids, x = [r.vec_id for r in found], np.array([r.embedding for r in found], float)
+    want = exact(ids, x, [i for i in ids if i % 50 == 0])
+    for options in ({"exact": True, "block": 100}, {"exact": True}):
+        got = defaultdict(list)
+        for r in ann.search(rows, F.col("vec_id") % 50 == 0, **options).orderBy("query_id", "rank").collect():
+            got[r.query_id].append(r.vec_id)
+        assert got == want
+    sample = np.random.default_rng(3).standard_normal((9000, 8))
+    centroids = ann.fit_lists(ann._unit(sample), 2200)
+    assert 2000 <= len(centroids) <= 2400 and np.isfinite(centroids).all()
+
+
 def test_graph_search_finds_what_all_distances_find():
     generator = np.random.default_rng(0)
     centroids = generator.standard_normal((600, 16))
