@@ -6,8 +6,8 @@ all fingerprints each; the index therefore has postings of `together` positions
 positions contain one of them: each pair with m matches meets in one list at least. For every pair that meets, the shared
 positional bytes are tallied, pairs below the guaranteed minimum are dropped, and the differing bits of the others are counted.
 
-For d = 4, 20 postings of three bytes a fingerprint suffice (each four of eight positions contain one of the 20 triples); from
-`WIDE` distinct fingerprints on, 70 postings of four bytes, so that chance meetings stay below eight a fingerprint up to 10^9.
+For d = 4, 20 postings of three bytes a fingerprint suffice (each four of eight positions contain one of the 20 triples); beyond 13
+million distinct fingerprints it is 70 postings of four bytes, so that chance meetings stay below eight a fingerprint up to 10^9.
 
 Equal fingerprints are one entry. Lists above `block` entries are cut by hash into blocks and each two blocks
 meet in a task of their own, so a task holds about 2 * `block` fingerprints however long a list is; it emits a spanning
@@ -135,14 +135,16 @@ def postings(matches: int, together: int) -> list[tuple[int, ...]]:
     return chosen
 
 
-#: From so many distinct fingerprints on, postings have as many bytes as must match.
-WIDE = 10_000_000
+def bytes_together(matches: int, n: int, meetings: float = 8.0) -> int:
+    """One positional byte fewer than must match, as long as an entry of n random ones meets at most so many others; else as many."""
+    fewer = max(1, matches - 1)
+    return fewer if len(postings(matches, fewer)) * n / 2 / 256**fewer <= meetings else matches
 
 
 def links(entries: DataFrame, *, distance: int = 4, block: int = 2048, together: int | None = None) -> DataFrame:
     """Links `a, b` between the distinct fingerprints `fp` that connect all pairs within `distance` bits (7 at most)."""
     matches = 8 - distance
-    together = together or (matches if matches < 2 or entries.count() >= WIDE else matches - 1)
+    together = together or bytes_together(matches, entries.count())
     byte = [F.shiftrightunsigned("fp", 8 * k).bitwiseAND(F.lit(255)) for k in range(8)]
     keys = []
     for i, positions in enumerate(postings(matches, together)):

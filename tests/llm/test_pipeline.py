@@ -32,7 +32,7 @@ def test_each_stage_against_brute_force(spark, tmp_path, sf, docs):
 
     before, after = steps["simhash"]
     rows = before.collect()
-    groups = slow_components([slow_fingerprint(r.text) for r in rows], [r.doc_id for r in rows])
+    groups = slow_components([slow_fingerprint(r.text, 5) for r in rows], [r.doc_id for r in rows], 5)
     assert sorted(r.doc_id for r in after.collect()) == sorted(r.doc_id for r, c in zip(rows, groups) if r.doc_id == c)
 
     before, after = steps["mixing"]

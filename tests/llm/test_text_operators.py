@@ -117,11 +117,11 @@ def test_lines_odd_rows(odd, clashing, empty):
 # ---- SimHash -------------------------------------------------------------------------------------------------
 
 
-def slow_fingerprint(text):
+def slow_fingerprint(text, width=4):
     words = WORDS.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not words:
         return 0
-    shingles = [" ".join(words[i : i + 4]) for i in range(len(words) - 3)] or [" ".join(words)]
+    shingles = [" ".join(words[i : i + width]) for i in range(len(words) - width + 1)] or [" ".join(words)]
     hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
@@ -190,6 +190,7 @@ def test_postings_contain_a_part_of_every_choice_of_matches():
             assert all(len(c) == together for c in sets)
             assert all(any(c <= set(choice) for c in sets) for choice in itertools.combinations(range(8), matches))
     assert len(simhash.postings(4, 3)) == 20 and len(simhash.postings(4, 4)) == 70
+    assert [simhash.bytes_together(4, n) for n in (10, 10_000_000, 20_000_000)] == [3, 3, 4] and simhash.bytes_together(3, 1_000_000) == 3
 
 
 def test_pairs_under_the_tally_are_dropped_before_bits_are_counted():
