@@ -32,8 +32,8 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by SimHash the one with the smallest id stays."""
-    return simhash.deduplicate(docs.select(*COLUMNS))
+    """Of each group of documents linked by SimHash, of five-word shingles within five bits, the one with the smallest id stays."""
+    return simhash.deduplicate(docs.select(*COLUMNS), width=5, distance=5)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
