@@ -144,7 +144,8 @@ def bytes_together(matches: int, n: int, meetings: float = 8.0) -> int:
 def links(entries: DataFrame, *, distance: int = 4, block: int = 2048, together: int | None = None) -> DataFrame:
     """Links `a, b` between the distinct fingerprints `fp` that connect all pairs within `distance` bits (7 at most)."""
     matches = 8 - distance
-    together = together or bytes_together(matches, entries.count())
+    n = entries.count()
+    together = together or bytes_together(matches, n)
     byte = [F.shiftrightunsigned("fp", 8 * k).bitwiseAND(F.lit(255)) for k in range(8)]
     keys = []
     for i, positions in enumerate(postings(matches, together)):
@@ -155,6 +156,8 @@ def links(entries: DataFrame, *, distance: int = 4, block: int = 2048, together:
         else:
             key = F.xxhash64(key, *(byte[k] for k in positions))
         keys.append(key)
+    # entries take few bytes and make many postings: spread first, about a million postings a task
+    entries = entries.select("fp").repartition(max(8, n * len(keys) // 1_000_000), "fp")
     listed = entries.select("fp", F.explode(F.array(*keys)).alias("key"))
     sizes = listed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("list"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     # a list that many entries share is a skewed side of this join, which the adaptive join splits
