@@ -177,8 +177,10 @@ def repeat_taken(docs: DataFrame, mixed: DataFrame, *, id_col: str = "doc_id", t
         several = mixed.join(again, same("r", "a"), "left_semi").withColumn("__sq_rn", F.row_number().over(other))
         both = both.unionAll(some.join(several, same("", "r") & (F.col("__sq_n") == F.col("__sq_rn"))).drop("__sq_n", "__sq_rn"))
 
-    @F.pandas_udf("array<string>")
-    def pieces(text: pd.Series, firsts: pd.Series, lasts: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def piece(texts, firsts, lasts):
+        import pyarrow as pa
+
         def cut(t, firsts, lasts):
             out, at, begin = [], 0, 0
             for k, m in enumerate(re.finditer(f"{WORD}+", t)):
@@ -188,16 +190,16 @@ def repeat_taken(docs: DataFrame, mixed: DataFrame, *, id_col: str = "doc_id", t
                     out.append(t[begin : m.end()])
                     if (at := at + 1) == len(firsts):
                         break
-            return ["\n".join(out)]
+            return "\n".join(out)
 
-        return pd.Series([None if t is None else cut(t, f.tolist(), e.tolist()) for t, f, e in zip(text, firsts, lasts)])
+        return pa.array((None if not t.is_valid else cut(t.as_py(), f.as_py(), e.as_py()) for t, f, e in zip(texts, firsts, lasts)), pa.string())
 
     partial = F.aggregate("__sq_spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"])
     both = both.withColumn("__sq_part", partial)
     whole = F.col("__sq_part") == F.col("__sq_size")  # all blocks of the row are taken once more
     copies = F.expr("(taken - if(__sq_part = __sq_size, 0, __sq_part)) div greatest(__sq_size, 1)").cast("int")
     cuts = (F.col("__sq_part") > 0) & ~whole  # only texts to cut go to Python
-    cut = pieces(F.when(cuts, F.col("__sq_text")), F.col("__sq_spans.first"), F.col("__sq_spans.last"))
-    taken = F.concat(F.array_repeat(F.col("__sq_text"), copies), F.coalesce(F.when(cuts, cut), F.array().cast("array<string>")))
+    cut = piece(F.when(cuts, F.col("__sq_text")), F.col("__sq_spans.first"), F.col("__sq_spans.last"))
+    taken = F.concat(F.array_repeat(F.col("__sq_text"), copies), F.when(cuts, F.array(cut)).otherwise(F.array().cast("array<string>")))
     both = both.select("__sq_row", F.explode(taken).alias("__sq_text"))
     return both.select(*((F.col("__sq_text") if c == text_col else F.col("__sq_row").getField(c)).cast(fields[c].dataType).alias(c) for c in names))

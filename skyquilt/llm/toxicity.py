@@ -320,16 +320,16 @@ class Toxicity:
             return docs.withColumn(score_col, F.lit(float(self.base)))
         beta, scale, table_at = self.beta, self.scale, self.table_at
 
-        @F.pandas_udf("double")
+        @F.arrow_udf("double")  # texts become Python strings a few at a time
         def score(texts):
-            import pandas as pd
+            import pyarrow as pa
 
             model = _model(table_at, None)
             out = []
             for begin in range(0, len(texts), 128):
-                x = model.features(texts.iloc[begin : begin + 128].tolist()) / scale
+                x = model.features(texts.slice(begin, 128).to_pylist()) / scale
                 out.append(1 / (1 + np.exp(-np.clip(x @ beta[:-1] + beta[-1], -30, 30))))
-            return pd.Series(np.concatenate(out) if out else [], dtype=float)
+            return pa.array(np.concatenate(out) if out else np.empty(0))
 
         return docs.withColumn(score_col, score(col(text_col).cast("string")))
 
@@ -342,7 +342,7 @@ def _model(table_at: str, fold: int | None) -> Model:
     if (key := (table_at, fold)) not in _models:
         import pyarrow.dataset as ds
 
-        for old in [k for k in _models if k[0] != table_at]:
+        for old in [k for k in _models if k[0] != table_at or fold is None]:
             del _models[old]
         fs, path = filesystem(table_at)
         table = ds.dataset(path, filesystem=fs, format="parquet").to_table(columns=["kind", "key", ratio_col(fold)])
@@ -364,5 +364,6 @@ def _featured(sample: DataFrame, table_at: str) -> DataFrame:
                     some = b.take(pa.array(own[begin : begin + 128]))
                     x = _model(table_at, fold).features(some.column(0).to_pylist())
                     yield pa.RecordBatch.from_arrays([some.column(1), *(pa.array(x[:, k]) for k in range(FEATURES))], ["y", *(f"f{k}" for k in range(FEATURES))])
+                _model(table_at, fold).known = _Known()  # one fold's words at a time
 
     return sample.select("text", F.col("y").cast("int"), "fold").mapInArrow(run, "y int, " + ", ".join(f"f{k} double" for k in range(FEATURES)))
