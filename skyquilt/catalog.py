@@ -162,10 +162,10 @@ _CL = ["k AS (SELECT *, month(sample) AS m FROM ym WHERE sample <= (SELECT make_
 add("remove_climatology", ym_(prep.remove_climatology), YM + _CL, f"SELECT {S4}, round(v - c, 6) + 0e0 AS value FROM mo JOIN cl USING ({_SER}, m)")
 add("gamma_fit_params", y_(lambda y: prep.GammaTransformer().fit(y).fitted), Y + [f"s AS (SELECT {_SER}, avg(value) AS m, avg(ln(value)) AS l, var_pop(value) AS v FROM y WHERE value > 2.220446049250313e-16 GROUP BY ALL)", "a AS (SELECT *, 4 * (ln(m) - l) AS a FROM s)", f"b AS (SELECT {_SER}, m, v, CASE WHEN a > 1.4901161193847656e-8 THEN (1 + sqrt(1 + a / 3)) / a WHEN v > 0 THEN m * m / v ELSE 0 END AS alpha, a FROM a)"], f"SELECT {_SER}, round(alpha, 6) + 0e0 AS alpha, round(CASE WHEN a > 1.4901161193847656e-8 THEN m / alpha WHEN v > 0 THEN v / m ELSE 0.0001 END, 6) + 0e0 AS beta FROM b")
 add("ecdf_percentile", y_(lambda y: prep.EmpiricalTransformer().fit(y).ecdf(y)), Y + [f"e AS (SELECT {S4}, cume_dist() OVER (PARTITION BY {_SER} ORDER BY value) AS p FROM y WHERE value IS NOT NULL)"], f"SELECT {S4}, round(CASE WHEN p IS NOT NULL THEN least(0.9999, greatest(0.0001, p)) END, 6) + 0e0 AS value FROM y LEFT JOIN e USING ({S4})")
-_GAM = [f"gs AS (SELECT {_SER}, avg(value) AS m, avg(ln(value)) AS l, var_pop(value) AS v FROM y WHERE value > 2.220446049250313e-16 GROUP BY ALL)", "ga AS (SELECT *, 4 * (ln(m) - l) AS a FROM gs)", f"gp AS (SELECT {_SER}, CASE WHEN a > 1.4901161193847656e-8 THEN (1 + sqrt(1 + a / 3)) / a WHEN v > 0 THEN m * m / v END AS alpha, m FROM ga)", f"gc AS (SELECT {S4}, value, alpha, m / alpha AS beta FROM y LEFT JOIN gp USING ({_SER}))", f"gd AS (SELECT *, least(0.9999, greatest(0.0001, {sql.gamma_cdf('value', 'alpha', 'beta')})) AS p FROM gc)"]
+_GAM = [f"gs AS (SELECT {_SER}, avg(value) AS m, avg(ln(value)) AS l, var_pop(value) AS v FROM y WHERE value > 2.220446049250313e-16 GROUP BY ALL)", "ga AS (SELECT *, 4 * (ln(m) - l) AS a FROM gs)", f"gp AS (SELECT {_SER}, CASE WHEN a > 1.4901161193847656e-8 THEN (1 + sqrt(1 + a / 3)) / a WHEN v > 0 THEN m * m / v END AS alpha, m FROM ga)", f"gc AS (SELECT {S4}, value, alpha, m / alpha AS beta FROM y LEFT JOIN gp USING ({_SER}))", f"gd AS (SELECT *, CASE WHEN value IS NOT NULL THEN least(0.9999, greatest(0.0001, {sql.gamma_cdf('value', 'alpha', 'beta')})) END AS p FROM gc)"]
 add("gamma_transform", y_(lambda y: prep.GammaTransformer().fit(y).transform(y)), Y + _GAM, f"SELECT {S4}, round({sql.norm_ppf('p')}, 6) + 0e0 AS value FROM gd")
-add("gamma_inverse", y_(lambda y: (lambda g: g.inverse_transform(g.transform(y).withColumn("value", F.col("value") + 0.1)))(prep.GammaTransformer().fit(y))), Y + _GAM + [f"ge AS (SELECT *, {sql.norm_ppf('p')} + 0.1e0 AS z FROM gd)", f"gf AS (SELECT *, least(0.9999, greatest(0.0001, {sql.norm_cdf('z')})) AS r FROM ge)"], f"SELECT {S4}, round(CASE WHEN r IS NOT NULL THEN {sql.gamma_ppf('r', 'alpha', 'beta')} END, 3) + 0e0 AS value FROM gf", digits=3)
-_ECD = [f"e0 AS (SELECT {S4}, value AS v, cume_dist() OVER (PARTITION BY {_SER} ORDER BY value) AS e FROM y WHERE value IS NOT NULL)", f"e1 AS (SELECT {S4}, v, e, least(0.9999, greatest(0.0001, e)) AS p FROM y LEFT JOIN e0 USING ({S4}))"]
+add("gamma_inverse", y_(lambda y: (lambda g: g.inverse_transform(g.transform(y).withColumn("value", F.col("value") + 0.1)))(prep.GammaTransformer().fit(y))), Y + _GAM + [f"ge AS (SELECT *, {sql.norm_ppf('p')} + 0.1e0 AS z FROM gd)", f"gf AS (SELECT *, CASE WHEN z IS NOT NULL THEN least(0.9999, greatest(0.0001, {sql.norm_cdf('z')})) END AS r FROM ge)"], f"SELECT {S4}, round(CASE WHEN r IS NOT NULL THEN {sql.gamma_ppf('r', 'alpha', 'beta')} END, 3) + 0e0 AS value FROM gf", digits=3)
+_ECD = [f"e0 AS (SELECT {S4}, value AS v, cume_dist() OVER (PARTITION BY {_SER} ORDER BY value) AS e FROM y WHERE value IS NOT NULL)", f"e1 AS (SELECT {S4}, v, e, CASE WHEN e IS NOT NULL THEN least(0.9999, greatest(0.0001, e)) END AS p FROM y LEFT JOIN e0 USING ({S4}))"]
 add("empirical_transform", y_(lambda y: prep.EmpiricalTransformer().fit(y).transform(y)), Y + _ECD, f"SELECT {S4}, round({sql.norm_ppf('p')}, 6) + 0e0 AS value FROM e1")
 add("empirical_inverse", y_(lambda y: (lambda e: e.inverse_transform(e.transform(y).withColumn("value", F.col("value") + 0.1)))(prep.EmpiricalTransformer().fit(y))), Y + _ECD[:1] + [f"e1z AS (SELECT {S4}, {sql.norm_ppf('p')} + 0.1e0 AS z FROM ({_ECD[1].split(' AS (', 1)[1]})", f"e1 AS (SELECT {S4}, {sql.norm_cdf('z')} AS p FROM e1z)", f"ek AS (SELECT DISTINCT {_SER}, v, e FROM e0)", f"el AS (SELECT *, lag(v) OVER w AS v0, lag(e) OVER w AS e0, row_number() OVER w AS j, count(*) OVER (PARTITION BY {_SER}) AS n FROM ek WINDOW w AS (PARTITION BY {_SER} ORDER BY v))", f"em2 AS (SELECT e1.{S4.replace(', ', ', e1.')}, p, arg_min(struct_pack(v0 := el.v0, v := el.v, e0 := el.e0, e := el.e), CASE WHEN el.e >= p THEN el.j ELSE 1000 - el.j END) AS k, max(n) AS n, max(el.v) AS sole FROM e1 LEFT JOIN el ON e1.lat = el.lat AND e1.lon = el.lon AND e1.feature = el.feature AND (el.j > 1 OR el.n = 1) GROUP BY ALL)"], f"SELECT {S4}, round(CASE WHEN p IS NULL THEN NULL WHEN n = 1 THEN sole ELSE k.v0 + (p - k.e0) / (k.e - k.e0) * (k.v - k.v0) END, 3) + 0e0 AS value FROM em2", digits=3)
 add("normal_scores", y_(prep.normal_scores), Y + ["ns AS (SELECT * FROM y WHERE sample NOT IN (SELECT sample FROM y WHERE value IS NULL))", f"nr AS (SELECT *, {_RANK} / count(value) OVER (PARTITION BY {_SER}) AS p FROM ns)", f"nq AS (SELECT {S4}, {_PCT} AS q FROM nr)"], f"SELECT {S4}, round({sql.norm_ppf('q')}, 6) + 0e0 AS value FROM nq")
@@ -423,7 +423,7 @@ add("elr_quantile_proba", _fitted("elr", _at_levels), _XYF + _LIQ + [_ELR[3]] +
 _NB = [f"nl AS (SELECT lat, lon, quantile_cont(y, {lit(1 / 3)}) AS lo, quantile_cont(y, {lit(2 / 3)}) AS hi FROM wd GROUP BY ALL)", "nc AS (SELECT wd.*, CASE WHEN y < lo THEN 0 WHEN y > hi THEN 2 ELSE 1 END AS c FROM wd JOIN nl USING (lat, lon))", "nf AS (SELECT lat, lon, c, count(*) AS m, " + ", ".join(f"sum(f{k}) + 1 AS s{k}" for k in range(1, 6)) + " FROM nc GROUP BY ALL)", "ne AS (SELECT wd.lat, wd.lon, sample, c, ln(m / sum(m) OVER (PARTITION BY wd.lat, wd.lon, sample)) + " + " + ".join(f"f{k} * ln(s{k} / (s1 + s2 + s3 + s4 + s5))" for k in range(1, 6)) + " AS a FROM wd JOIN nf USING (lat, lon))", "nx AS (SELECT lat, lon, sample, c, exp(a - max(a) OVER w) / sum(exp(a - ma)) OVER w AS v FROM (SELECT *, max(a) OVER (PARTITION BY lat, lon, sample) AS ma FROM ne) WINDOW w AS (PARTITION BY lat, lon, sample))", "np AS (SELECT lat, lon, sample, ['BN', 'NN', 'AN'][c + 1] AS feature, v FROM nx)"]
 add("naive_bayes", _fitted("naive_bayes"), _XYF + _NB, everywhere("v", "np", ["BN", "NN", "AN"]))
 for _name, _family in (("poisson_regression", "poisson"), ("gamma_regression", "gamma")):
-    add(_name, _fitted(_family, models.predict), _XYF + sql.reweighted("gl", "wd", "lat, lon", _F5, _family, keep="lat, lon, sample, y", rounds=12), everywhere("exp(eta)", "gl", digits=3), digits=3)
+    add(_name, _fitted(_family, models.predict), _XYF + sql.reweighted("gl", "wd", "lat, lon", _F5, _family, keep="lat, lon, sample, y", rounds=20), everywhere("exp(eta)", "gl", digits=2), digits=2)
 add("nan_regression", _fitted("nan_regression", models.predict), X, "SELECT DISTINCT lat, lon, sample, '0' AS feature, CAST(NULL AS DOUBLE) AS value FROM x")
 add("nan_classifier", _fitted("nan_classifier"), X, "SELECT DISTINCT lat, lon, sample, f AS feature, CAST(NULL AS DOUBLE) AS value FROM x CROSS JOIN (SELECT unnest(['BN', 'NN', 'AN']) AS f)")
 add("tune_params", lambda s, d: models.tune(prep.fill_spatial_mean(model_cube(s, d)), observed_cube(s, d), "elm", {"hidden": [2, 5], "regularization": [-10, -5, 0], "activation": ["relu", "tanh"]}).select("lat", "lon", "goodness", F.array_join(F.array_sort(F.transform(F.map_entries("params"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",").alias("params")))
@@ -459,7 +459,7 @@ add("cca_proba", xy_(lambda x, y: field.CCA(search_override=(3, 3, 2)).fit(prep.
 add("pcr_quantile_proba", xy_(lambda x, y: field.PCR(2).fit(prep.fill_spatial_mean(x), y).predict_proba(prep.fill_spatial_mean(x), quantile=_LEVELS)), _PCP[:-3] + _levels_t("mm", "mv", "pw0", "y"), everywhere("v", levels_long("lp"), [str(q) for q in _LEVELS]))
 add("cca_quantile_proba", xy_(lambda x, y: field.CCA(search_override=(3, 3, 2)).fit(prep.fill_spatial_mean(x), y).predict_proba(quantile=_LEVELS)), _CPB[:-3] + ["cn AS (SELECT lat, lon, sample, v AS fit FROM cm)", f"yy AS (SELECT lat, lon, value AS yv FROM y JOIN cyp USING ({_SER}))"] + _levels_t("cn", "cv", "yy", "yv"), f"SELECT lat, lon, sample, feature, round(v, 6) + 0e0 AS value FROM {levels_long('lp')}")
 add("cca_report_x_cca", xy_(lambda x, y: field.CCA(search_override=(3, 3, 2)).fit(prep.fill_spatial_mean(x), y).report()["x_cca"].select("lat", "lon", "feature", "mode", F.abs("value").alias("value"))), _CCA + ["cu AS (SELECT cxe.i, ce.mode, sum(cxe.u * ce.u) AS s FROM cxe JOIN ce ON ce.f = cxe.f AND ce.i = cxe.mode WHERE cxe.f = (SELECT max(f) FROM cf) GROUP BY ALL)"], f"SELECT {_SER}, mode, round(abs(corr(z, s)), 6) + 0e0 AS value FROM cxz JOIN cu USING (i) WHERE f = (SELECT max(f) FROM cf) GROUP BY {_SER}, mode")
-add("pcr_report_skill", xy_(lambda x, y: field.PCR(2).fit(prep.fill_spatial_mean(x), y).report()["skill"]), _PCR, "SELECT lat, lon, round(corr(fit, y), 6) + 0e0 AS value FROM mm GROUP BY ALL")
+add("pcr_report_skill", xy_(lambda x, y: field.PCR(2).fit(prep.fill_spatial_mean(x), y).report()["skill"]), _PCR, "SELECT * FROM (SELECT DISTINCT lat, lon FROM y) LEFT JOIN (SELECT lat, lon, round(corr(fit, y), 6) + 0e0 AS value FROM mm GROUP BY ALL) USING (lat, lon)")
 add("cca_search", xy_(lambda x, y: field.CCA().fit(prep.fill_spatial_mean(x), y).error_variance()))
 
 # ---- helpers -------------------------------------------------------------------------------------------------
