@@ -2,7 +2,7 @@
 
 `library(path)` is that library's own tokenizer. It encodes about 2 MB of this corpus a second and core, so
 `Encoder` reads vocabulary and merges through it once and runs them in tiktoken's merge loop, five times as fast;
-for a byte-level BPE whose merges are in id order both give the same ids (`tests/llm/test_tokens.py` compares
+for a byte-level BPE whose merges are in id order both give the same ids (`tests/llm/test_tokens_packing_pfor.py` compares
 them on whole tables and on random strings). The library itself encodes texts with the string of an added token in them,
 texts that tiktoken gives up on (runs of a million white spaces), and for any other tokenizer file all texts.
 """
