@@ -160,8 +160,9 @@ def links(entries: DataFrame, *, distance: int = 4, block: int = 2048, together:
     entries = entries.select("fp").repartition(max(8, n * len(keys) // 1_000_000), "fp")
     listed = entries.select("fp", F.explode(F.array(*keys)).alias("key"))
     sizes = listed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("list"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    # a list that many entries share is a skewed side of this join, which the adaptive join splits
-    listed = listed.join(sizes, F.col("key") == F.col("list")).select("key", "fp", "blocks", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int").alias("at"))
+    # Spark takes exploded rows for as few as the entries and would broadcast all postings from the driver, so the join is named;
+    # a list that many entries share is a skewed side of it, which the adaptive join splits
+    listed = listed.hint("merge").join(sizes, F.col("key") == F.col("list")).select("key", "fp", "blocks", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int").alias("at"))
     tasks = listed.select("key", "fp", "at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     tasks = tasks.select("key", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "fp")
     return tasks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lambda it: _links(it, distance), "a long, b long").distinct()

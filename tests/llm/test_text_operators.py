@@ -211,6 +211,20 @@ def test_both_kinds_of_postings_find_the_same_links(spark, together):
     assert [found.get(p, p) for p in prints] == slow_components(prints, prints)
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_postings_are_never_broadcast(spark, tmp_path, adaptive):
+    prints = np.random.default_rng(3).integers(-(1 << 63), 1 << 63, 4000).tolist()
+    spark.createDataFrame([(p,) for p in prints], "fp long").write.parquet(str(tmp_path / "entries"))
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        found = simhash.links(spark.read.parquet(str(tmp_path / "entries")), distance=5)
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, k) for k in range(101, 140)] + [(-5, 200), (7, 7)]
     found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
