@@ -170,6 +170,27 @@ def test_transformers(spark):
     assert back[inner] == pytest.approx(v[inner], rel=1e-6)
 
 
+def gamma_sum(x, alpha, beta):
+    """The distribution function by so many terms of its series that no more count."""
+    return math.fsum(math.exp(-x / beta + (alpha + k) * math.log(x / beta) - math.lgamma(alpha + k + 1)) for k in range(20000))
+
+
+def test_gamma_inverse_of_large_shapes(spark):
+    for alpha in (499.0, 500.0, 2600.0, 200000.0, 1.2e6):
+        p = np.array([1e-4, 0.02, 0.49, 0.5, 0.51, 0.98, 0.9999])
+        x = distributions.gamma_ppf(p, alpha, 0.3)
+        assert [gamma_sum(v, alpha, 0.3) for v in x] == pytest.approx(p, abs=1e-8)
+    v = RNG.normal(53000, 110, size=27)
+    c = series(spark, v)
+    gamma = prep.GammaTransformer().fit(c)
+    moved = gamma.inverse_transform(gamma.transform(c).withColumn("value", F.col("value") + 0.1))
+    alpha, beta = gamma.fitted.select("alpha", "beta").first()
+    assert alpha > 100000
+    want = [distributions.norm_cdf(distributions.norm_ppf(np.array([gamma_sum(x, alpha, beta)])) + 0.1)[0] for x in v]
+    assert [gamma_sum(x, alpha, beta) for x in array(moved)[0, 0, :, 0]] == pytest.approx(want, abs=1e-8)
+
+
+
 def test_normal_scores(spark):
     v = RNG.normal(size=(1, 1, 6, 2))
     v[0, 0, 3, 1] = np.nan
