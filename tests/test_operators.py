@@ -190,6 +190,17 @@ def test_gamma_inverse_of_large_shapes(spark):
     assert [gamma_sum(x, alpha, beta) for x in array(moved)[0, 0, :, 0]] == pytest.approx(want, abs=1e-8)
 
 
+def test_gamma_transform_of_large_shapes(spark):
+    v = RNG.normal(53000, 70, size=27)
+    c = series(spark, v)
+    gamma = prep.GammaTransformer().fit(c)
+    alpha, beta = gamma.fitted.select("alpha", "beta").first()
+    assert alpha > 200000
+    want = distributions.norm_ppf(np.array([gamma_sum(x, alpha, beta) for x in v]))
+    assert array(gamma.transform(c))[0, 0, :, 0] == pytest.approx(want, abs=1e-7)
+
+
+
 
 def test_normal_scores(spark):
     v = RNG.normal(size=(1, 1, 6, 2))
