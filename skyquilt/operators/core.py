@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skyquilt.functions.expr import nan_to_null
 
@@ -73,8 +79,33 @@ def coords(cube: DataFrame, *axes: str) -> DataFrame:
     return cube.select(*axes).distinct()
 
 
+def _shared_dir(spark: SparkSession) -> str | None:
+    """The folder that all executors share (`spark.checkpoint.dir`); where it is unset a temporary one on a local master, else None."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at and re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+        at = tempfile.mkdtemp(prefix="skyquilt-")
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(at)
+    return at if not at or "://" in at or at.startswith("file:") else f"file://{at}"
+
+
+def settled(cube: DataFrame) -> DataFrame:
+    """The cube written as a table in the shared folder and read back, so that what it is made of is computed once, now. Without such a
+    folder it stays a plan."""
+    spark = cube.sparkSession
+    if not (shared := _shared_dir(spark)):
+        return cube
+    at = f"{shared.rstrip('/')}/skyquilt/cube-{uuid.uuid4().hex}"
+    cube.write.parquet(at)
+    return spark.read.schema(T.StructType([T.StructField(f.name, f.dataType, True) for f in cube.schema])).parquet(at)
+
+
 def dense(cube: DataFrame, *, cells: tuple[str, ...] = ("lat", "lon")) -> DataFrame:
-    """Every combination of cell, sample and feature, absent ones with NULL. Coordinate lists are small beside the cube."""
+    """Every combination of cell, sample and feature, absent ones with NULL. Coordinate lists are small beside the cube.
+
+    The cube is settled first: three lists of coordinates and the join read it, and whoever uses the result does so again.
+    """
+    cube = settled(cube)
     grid = coords(cube, *cells).crossJoin(coords(cube, "sample")).crossJoin(coords(cube, "feature"))
     return grid.join(cube, [*cells, "sample", "feature"], "left").select("lat", "lon", "sample", "feature", "value")
 
@@ -91,11 +122,17 @@ def check(cube: DataFrame) -> DataFrame:
 
 
 def check_compatible(x: DataFrame, y: DataFrame) -> None:
-    """Raises ValueError unless both have the same cells and samples."""
-    for axes in (("lat", "lon"), ("sample",)):
-        a, b = coords(x, *axes), coords(y, *axes)
-        if a.exceptAll(b).limit(1).count() or b.exceptAll(a).limit(1).count():
-            raise ValueError(f"the cubes differ in {', '.join(axes)}")
+    """Raises ValueError unless both have the same cells and samples. Reads either cube once."""
+    both = (("lat", "lon"), ("sample",))
+
+    def seen(cube: DataFrame, side: int) -> DataFrame:
+        named = lambda axes: (F.when(F.lit(a in axes), F.col(a)).alias(a) for own in both for a in own)
+        places = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), *named(axes)) for k, axes in enumerate(both))))
+        return cube.select(places.alias("p")).select("p.*", F.lit(side).alias("side"))
+
+    sides = seen(x, 0).unionByName(seen(y, 1)).groupBy("k", "lat", "lon", "sample").agg(F.min("side").alias("lo"), F.max("side").alias("hi"))
+    if (k := sides.where("lo = hi").agg(F.min("k")).first()[0]) is not None:
+        raise ValueError(f"the cubes differ in {', '.join(both[k])}")
 
 
 def align_blocks(x: DataFrame, y: DataFrame, lat_blocks: int = 5, lon_blocks: int = 5) -> tuple[DataFrame, DataFrame]:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skyquilt.functions import distributions
 from skyquilt.functions.expr import ACTIVATIONS, avg_rank, nan_to_null, q_mid, t_cdf
 from skyquilt.operators import core, folds, kernels, prep, rolling, select, spatial
+from skyquilt.sources.cubes import observed_cube
 
 from .cubes import array, cube, days, series
 
@@ -47,6 +48,35 @@ def test_checks(spark):
     assert nan == 1.0
 
 
+def counted(spark, df):
+    """The same rows, and an accumulator of how many were made."""
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    return df.mapInPandas(run, df.schema), made
+
+
+def test_cubes_are_computed_once(spark):
+    c = cube(spark, RNG.normal(size=(2, 2, 3, 1)))
+    x, made = counted(spark, c)
+    d = core.dense(x)
+    assert d.count() == d.where("value is not null").count() == 12
+    assert made.value == 12
+    (x, made_x), (y, made_y) = counted(spark, c), counted(spark, c)
+    core.check_compatible(x, y)
+    assert (made_x.value, made_y.value) == (12, 12)
+    for other, named in ((c.where("lat = 0 and sample > '1999-01-15'"), "lat, lon"), (c.where("sample > '1999-01-15'"), "sample")):
+        for pair in ((c, other), (other, c)):
+            with pytest.raises(ValueError, match=f"differ in {named}$"):
+                core.check_compatible(*pair)
+    core.check_compatible(c.where("false"), c.where("false"))
+    assert not any("lineitem" in f or "orders" in f for f in observed_cube(spark, "/root/testdata/sf0.001").inputFiles())
+
+
 # ---- functions -----------------------------------------------------------------------------------------------
 
 
