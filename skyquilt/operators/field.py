@@ -16,15 +16,16 @@ from pyspark.sql import functions as F
 
 from skyquilt.functions.expr import CELL
 from skyquilt.operators import kernels, models
+from skyquilt.operators.core import settled
 
 POINT = ("lat", "lon", "feature")
 CUTOFF = 1e-6
 
 
 def points(cube: DataFrame) -> DataFrame:
-    """`lat, lon, feature, samples, v`: complete series that vary."""
+    """`lat, lon, feature, samples, v`: complete series that vary. Settled, as fits and forecasts read them several times."""
     rows = cube.groupBy(*POINT).agg(F.sort_array(F.collect_list(F.struct("sample", "value"))).alias("s"), F.count("value").alias("n"), F.count(F.lit(1)).alias("m"), F.stddev_pop("value").alias("sd"))
-    return rows.where("n = m and sd > 0").select(*POINT, F.transform("s", lambda x: x["sample"]).alias("samples"), F.transform("s", lambda x: x["value"]).alias("v"))
+    return settled(rows.where("n = m and sd > 0").select(*POINT, F.transform("s", lambda x: x["sample"]).alias("samples"), F.transform("s", lambda x: x["value"]).alias("v")))
 
 
 def standardised(v: np.ndarray, train: np.ndarray) -> np.ndarray:

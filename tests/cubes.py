@@ -36,3 +36,15 @@ def array(df, features=None):
         at = tuple(a.index(r[n]) for a, n in zip(axes, ("lat", "lon", "sample", "feature")))
         out[at] = np.nan if r["value"] is None else r["value"]
     return out
+
+
+def counted(spark, df):
+    """The same rows, and an accumulator of how many were made."""
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    return df.mapInPandas(run, df.schema), made

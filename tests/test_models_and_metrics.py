@@ -12,7 +12,7 @@ from skyquilt.operators.ensemble import ACPAC, Ensemble
 from skyquilt.plans import hindcast
 from skyquilt.sources import parameters
 
-from .cubes import array, cube, days
+from .cubes import array, counted, cube, days
 
 RNG = np.random.default_rng(1)
 CLASSES = ["BN", "NN", "AN"]
@@ -389,3 +389,11 @@ def test_workflows_and_streaming(spark, tmp_path):
     assert len(drained(scoring.score_linear(stream, mlr.fit(x, y).select("lat", "lon", "intercept", "slope")), "append")) == 80
     assert drained(scoring.windowed_mean(stream, "60 days"), "complete")
     assert json.dumps(hindcast.__doc__)
+
+
+def test_fields_are_computed_once(spark):
+    c, _ = field_cube(spark)
+    n = c.count()
+    (x, made_x), (y, made_y) = counted(spark, c), counted(spark, c)
+    assert field.CCA(search_override=(2, 2, 2)).fit(x, y).predict().count() > 0
+    assert (made_x.value, made_y.value) == (n, n)
